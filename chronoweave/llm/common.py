@@ -27,12 +27,31 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors.
+
+    The shuffle files of the write are removed once it has ended."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, before = shared_path(spark, name), spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes materialised tables that nothing reads any more."""
+    for df in tables:
+        jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+        path = jvm.org.apache.hadoop.fs.Path(df._shared_path)
+        path.getFileSystem(session.sessionState().newHadoopConf()).delete(path, True)
 
 
 def word_list(text: Column) -> Column:

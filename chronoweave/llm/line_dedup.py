@@ -9,8 +9,9 @@ document), has a Jaccard similarity of at least the threshold, whether that one
 2. Lines with equal token sets are collapsed to the earliest (counts are merged before the shuffle, so a line that
    stands in a third of all documents costs no more than others).
 3. Of n tokens the n - ceil(t*n) + 1 first are the prefix. Lines that reach the threshold share a prefix token; the join on
-   prefix tokens also holds the sizes (length filter) and what can still follow both places (positional filter)
-   against the needed overlap.
+   prefix tokens holds the sizes (length filter) and what can still follow the first shared token in both (positional
+   filter) against the needed overlap, and the bits in which 64-bit maps of the sets differ, which is at most the number
+   of tokens in one set only, against what the threshold allows. Sets too small to reach it without being equal are left out.
 4. For candidates alone, whole token sets are read from the text again and the similarity is computed.
 
 Lines without words always stay. A null text stays null. Repeated rows (equal id and text) are one document. Extra
@@ -24,7 +25,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -69,23 +70,27 @@ def distinct_lines(lines: DataFrame, ranks: Column, t: Fraction) -> DataFrame:
     """A row for each token set: rid, the earliest line's id, th and line_no, size n and the prefix."""
     sized = lines.select("id", "th", "line_no", _tokens(F.col("line"), ranks).alias("tokens")).where(F.size("tokens") > 0).withColumn("n", F.size("tokens"))
     needed = F.expr(f"cast((n * {t.numerator} + {t.denominator - 1}) div {t.denominator} as int)")
-    keyed = sized.select(F.xxhash64("tokens").alias("s"), F.xxhash64(F.col("n"), F.col("tokens")).alias("s2"), "id", "th", "line_no", "n", F.slice("tokens", 1, F.col("n") - needed + 1).alias("prefix"))
-    first = keyed.groupBy("s", "s2").agg(F.min(F.struct("id", "th", "line_no", "n", "prefix")).alias("first"))
+    keyed = sized.select(F.xxhash64("tokens").alias("s"), F.xxhash64(F.col("n"), F.col("tokens")).alias("s2"), "id", "th", "line_no", "n", F.expr("aggregate(tokens, 0L, (bits, x) -> bits | shiftleft(1L, cast(x & 63 as int)))").alias("bits"), F.slice("tokens", 1, F.col("n") - needed + 1).alias("prefix"))
+    first = keyed.groupBy("s", "s2").agg(F.min(F.struct("id", "th", "line_no", "n", "bits", "prefix")).alias("first"))
     return first.select(F.monotonically_increasing_id().alias("rid"), "first.*")
 
 
 def candidate_pairs(reps: DataFrame, t: Fraction) -> DataFrame:
     """(a, b), a < b: lines that share a prefix token and can reach the threshold by sizes and places."""
-    index = reps.select("rid", "n", F.posexplode("prefix").alias("i", "token"))
-    a, b = (index.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("rid", "n", "i"))) for x in "ab")
     num, den = t.numerator, t.denominator
-    most = F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i")) + F.least("a_i", "b_i")
+    # unequal sets share at most the smaller size, of one token less than the larger: n / (n + 1) must reach t
+    index = reps.where(F.col("n") * den >= (F.col("n") + 1) * num) if num < den else reps.where("false")
+    index = index.select("rid", "n", "bits", F.posexplode("prefix").alias("i", "token"))
+    a, b = (index.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("rid", "n", "bits", "i"))) for x in "ab")
+    sizes, most = F.col("a_n") + F.col("b_n"), F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
     keep = (
         (a["token"] == b["token"])
         & (F.col("a_rid") < F.col("b_rid"))
         & (F.col("a_n") * den >= F.col("b_n") * num)
         & (F.col("b_n") * den >= F.col("a_n") * num)
-        & (most * (num + den) >= (F.col("a_n") + F.col("b_n")) * num)
+        & (most * (num + den) >= sizes * num)
+        # in one set only: sizes - 2 * shared, and shared >= sizes * num / (num + den)
+        & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) * (num + den) <= sizes * (den - num))
     )
     return a.join(b, keep).select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b")).distinct()
 
@@ -112,6 +117,7 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_i
     alike = both.where(shared * (t.numerator + t.denominator) >= (F.size("a_tokens") + F.size("b_tokens")) * t.numerator)
     later = alike.select(F.when(F.col("a_place") < F.col("b_place"), F.col("b")).otherwise(F.col("a")).alias("rid")).distinct()
     kept = materialize(reps.join(later, "rid", "left_anti").groupBy(F.col("id").alias("k_id"), F.col("th").alias("k_th")).agg(F.collect_list("line_no").alias("k_lines")), "kept-lines")
+    release(reps, pairs, sets)
     whole = docs.withColumn("k_hash", F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("k_id")) & (F.col("k_hash") == F.col("k_th")), "left")
     split = F.split(F.col(text_col), "\n")
     stays = F.filter(split, lambda line, i: F.coalesce(F.array_contains(F.col("k_lines"), i), F.lit(False)) | ~_has_words(line))

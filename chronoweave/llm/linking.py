@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,6 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         changed = not new.where(F.col("old") != F.col("label")).isEmpty()
         labels = new.select("node", "label")
         if not changed:
+            release(both)
             return labels
 
 
@@ -48,4 +49,5 @@ def classes(entries: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFra
     x, y = (member.select("bucket", F.col("node").alias(n), F.col("label").alias(f"{n}_label")) for n in ("a", "b"))
     cross = x.join(y, (x["bucket"] == y["bucket"]) & (x["a"] < y["b"]) & (x["a_label"] != y["b_label"])).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
     more = materialize(verify(cross), "links")
+    release(entries, crowded, star, member)
     return labels if more.isEmpty() else components(links.unionByName(more))
