@@ -13,6 +13,9 @@ document), has a Jaccard similarity of at least the threshold, whether that one
    filter) against the needed overlap, and the bits in which 64-bit maps of the sets differ, which is at most the number
    of tokens in one set only, against what the threshold allows. Sets too small to reach it without being equal are left out.
 4. For candidates alone, whole token sets are read from the text again and the similarity is computed.
+5. A line only needs one earlier match, so steps 3 and 4 are done twice: first against the earliest line of each prefix
+   token alone, then, for the lines that no match was found for, against all earlier lines. A family of many variants of
+   a line is thus not expanded into all its pairs.
 
 Lines without words always stay. A null text stays null. Repeated rows (equal id and text) are one document. Extra
 columns stay; an empty table gives an empty result."""
@@ -71,17 +74,23 @@ def distinct_lines(lines: DataFrame, ranks: Column, t: Fraction) -> DataFrame:
     sized = lines.select("id", "th", "line_no", _tokens(F.col("line"), ranks).alias("tokens")).where(F.size("tokens") > 0).withColumn("n", F.size("tokens"))
     needed = F.expr(f"cast((n * {t.numerator} + {t.denominator - 1}) div {t.denominator} as int)")
     keyed = sized.select(F.xxhash64("tokens").alias("s"), F.xxhash64(F.col("n"), F.col("tokens")).alias("s2"), "id", "th", "line_no", "n", F.expr("aggregate(tokens, 0L, (bits, x) -> bits | shiftleft(1L, cast(x & 63 as int)))").alias("bits"), F.slice("tokens", 1, F.col("n") - needed + 1).alias("prefix"))
-    first = keyed.groupBy("s", "s2").agg(F.min(F.struct("id", "th", "line_no", "n", "bits", "prefix")).alias("first"))
-    return first.select(F.monotonically_increasing_id().alias("rid"), "first.*")
+    first = keyed.groupBy("s", "s2").agg(F.min(F.struct("id", "th", "line_no", "n", "bits", "prefix")).alias("first")).select("first.*")
+    ordered = first.repartitionByRange("id", "th", "line_no").sortWithinPartitions("id", "th", "line_no")
+    return ordered.select(F.monotonically_increasing_id().alias("rid"), "*")
 
 
-def candidate_pairs(reps: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b), a < b: lines that share a prefix token and can reach the threshold by sizes and places."""
+def prefix_index(reps: DataFrame, t: Fraction) -> DataFrame:
+    """(token, rid, n, bits, i), a row for each prefix token at place i; without the sets too small to match another one."""
     num, den = t.numerator, t.denominator
     # unequal sets share at most the smaller size, of one token less than the larger: n / (n + 1) must reach t
-    index = reps.where(F.col("n") * den >= (F.col("n") + 1) * num) if num < den else reps.where("false")
-    index = index.select("rid", "n", "bits", F.posexplode("prefix").alias("i", "token"))
-    a, b = (index.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("rid", "n", "bits", "i"))) for x in "ab")
+    large = reps.where(F.col("n") * den >= (F.col("n") + 1) * num) if num < den else reps.where("false")
+    return large.select("rid", "n", "bits", F.posexplode("prefix").alias("i", "token"))
+
+
+def candidate_pairs(earlier: DataFrame, later: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b), a < b: lines that share a prefix token and can reach the threshold by sizes, places and bits."""
+    num, den = t.numerator, t.denominator
+    a, b = (index.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("rid", "n", "bits", "i"))) for x, index in (("a", earlier), ("b", later)))
     sizes, most = F.col("a_n") + F.col("b_n"), F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
     keep = (
         (a["token"] == b["token"])
@@ -95,6 +104,21 @@ def candidate_pairs(reps: DataFrame, t: Fraction) -> DataFrame:
     return a.join(b, keep).select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b")).distinct()
 
 
+def matched(pairs: DataFrame, reps: DataFrame, texts: DataFrame, ranks: Column, t: Fraction) -> DataFrame:
+    """(rid) of the later lines of the pairs that reach the threshold, by the lines' whole token sets."""
+    pairs = materialize(pairs, "line-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    by_doc = reps.join(wanted, "rid", "left_semi").groupBy(F.col("id").alias("at_id"), F.col("th").alias("at_th")).agg(F.collect_list(F.struct("rid", F.col("line_no").alias("at_no"))).alias("at"))
+    found = texts.join(by_doc, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th"))).select(F.split("text", "\n").alias("lines"), F.inline("at"))
+    sets = materialize(found.select("rid", F.get("lines", F.col("at_no")).alias("line")).select("rid", _tokens(F.col("line"), ranks).alias("tokens")).dropDuplicates(["rid"]), "line-sets")
+    a, b = (sets.select(F.col("rid").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
+    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
+    alike = pairs.join(a, "a").join(b, "b").where(shared * (t.numerator + t.denominator) >= (F.size("a_tokens") + F.size("b_tokens")) * t.numerator)
+    out = materialize(alike.select(F.col("b").alias("rid")).distinct(), "matched")
+    release(pairs, sets)
+    return out
+
+
 def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text of each document without its removed lines, and the columns n_lines and n_removed besides."""
     t = Fraction(str(threshold)).limit_denominator(1000)
@@ -103,21 +127,14 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_i
     lines = _lines(docs, id_col, text_col)
     ranks = word_ranks(lines)
     reps = materialize(distinct_lines(lines, ranks, t), "distinct-lines")
-    pairs = materialize(candidate_pairs(reps, t), "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    places = reps.join(wanted, "rid", "left_semi").select("rid", F.col("id").alias("at_id"), F.col("th").alias("at_th"), F.col("line_no").alias("at_no"))
-    by_doc = places.groupBy("at_id", "at_th").agg(F.collect_list(F.struct("rid", "at_no")).alias("at"))  # a document's own lines
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = texts.withColumn("th", F.xxhash64("text")).join(by_doc, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th")))
-    found = found.select("id", "th", F.split("text", "\n").alias("lines"), F.inline("at")).select("rid", F.struct("id", "th", "at_no").alias("place"), F.get("lines", F.col("at_no")).alias("line"))
-    sets = materialize(found.select("rid", "place", _tokens(F.col("line"), ranks).alias("tokens")).dropDuplicates(["rid"]), "line-sets")
-    a, b = (sets.select(*(F.col(c).alias(f"{x}_{c}") for c in sets.columns)) for x in "ab")
-    both = pairs.join(a, F.col("a") == F.col("a_rid")).join(b, F.col("b") == F.col("b_rid"))
-    shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
-    alike = both.where(shared * (t.numerator + t.denominator) >= (F.size("a_tokens") + F.size("b_tokens")) * t.numerator)
-    later = alike.select(F.when(F.col("a_place") < F.col("b_place"), F.col("b")).otherwise(F.col("a")).alias("rid")).distinct()
+    index = prefix_index(reps, t)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    earliest = index.groupBy("token").agg(F.min(F.struct("rid", "n", "bits", "i")).alias("first"), F.count("*").alias("lines")).where("lines > 1").select("token", "first.*")
+    removed = matched(candidate_pairs(earliest, index, t), reps, texts, ranks, t)
+    rest = prefix_index(reps.join(removed, "rid", "left_anti"), t)
+    later = removed.unionByName(matched(candidate_pairs(index, rest, t), reps, texts, ranks, t))
     kept = materialize(reps.join(later, "rid", "left_anti").groupBy(F.col("id").alias("k_id"), F.col("th").alias("k_th")).agg(F.collect_list("line_no").alias("k_lines")), "kept-lines")
-    release(reps, pairs, sets)
+    release(reps)
     whole = docs.withColumn("k_hash", F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("k_id")) & (F.col("k_hash") == F.col("k_th")), "left")
     split = F.split(F.col(text_col), "\n")
     stays = F.filter(split, lambda line, i: F.coalesce(F.array_contains(F.col("k_lines"), i), F.lit(False)) | ~_has_words(line))
