@@ -10,7 +10,7 @@ document), has a Jaccard similarity of at least the threshold, whether that one
    stands in a third of all documents costs no more than others).
 3. Of n tokens the n - ceil(t*n) + 1 first are the prefix. Lines that reach the threshold share a prefix token; the join on
    prefix tokens holds the sizes (length filter) and what can still follow the first shared token in both (positional
-   filter) against the needed overlap, and the bits in which 64-bit maps of the sets differ, which is at most the number
+   filter) against the needed overlap, and the bits in which the sets' parity maps of 128 bits differ, at most the number
    of tokens in one set only, against what the threshold allows. Sets too small to reach it without being equal are left out.
 4. For candidates alone, whole token sets are read from the text again and the similarity is computed.
 5. A line only needs one earlier match, so steps 3 and 4 are done twice: first against the earliest line of each prefix
@@ -73,24 +73,24 @@ def distinct_lines(lines: DataFrame, ranks: Column, t: Fraction) -> DataFrame:
     """A row for each token set: rid, the earliest line's id, th and line_no, size n and the prefix."""
     sized = lines.select("id", "th", "line_no", _tokens(F.col("line"), ranks).alias("tokens")).where(F.size("tokens") > 0).withColumn("n", F.size("tokens"))
     needed = F.expr(f"cast((n * {t.numerator} + {t.denominator - 1}) div {t.denominator} as int)")
-    keyed = sized.select(F.xxhash64("tokens").alias("s"), F.xxhash64(F.col("n"), F.col("tokens")).alias("s2"), "id", "th", "line_no", "n", F.expr("aggregate(tokens, 0L, (bits, x) -> bits | shiftleft(1L, cast(x & 63 as int)))").alias("bits"), F.slice("tokens", 1, F.col("n") - needed + 1).alias("prefix"))
-    first = keyed.groupBy("s", "s2").agg(F.min(F.struct("id", "th", "line_no", "n", "bits", "prefix")).alias("first")).select("first.*")
+    keyed = sized.select(F.xxhash64("tokens").alias("s"), F.xxhash64(F.col("n"), F.col("tokens")).alias("s2"), "id", "th", "line_no", "n", F.expr("aggregate(tokens, 0L, (bits, x) -> bits ^ if((x & 64) = 0, shiftleft(1L, cast(x & 63 as int)), 0L))").alias("bits"), F.expr("aggregate(tokens, 0L, (bits, x) -> bits ^ if((x & 64) = 0, 0L, shiftleft(1L, cast(x & 63 as int))))").alias("bits2"), F.slice("tokens", 1, F.col("n") - needed + 1).alias("prefix"))
+    first = keyed.groupBy("s", "s2").agg(F.min(F.struct("id", "th", "line_no", "n", "bits", "bits2", "prefix")).alias("first")).select("first.*")
     ordered = first.repartitionByRange("id", "th", "line_no").sortWithinPartitions("id", "th", "line_no")
     return ordered.select(F.monotonically_increasing_id().alias("rid"), "*")
 
 
 def prefix_index(reps: DataFrame, t: Fraction) -> DataFrame:
-    """(token, rid, n, bits, i), a row for each prefix token at place i; without the sets too small to match another one."""
+    """(token, rid, n, bits, bits2, i), a row for each prefix token at place i; without the sets too small to match another one."""
     num, den = t.numerator, t.denominator
     # unequal sets share at most the smaller size, of one token less than the larger: n / (n + 1) must reach t
     large = reps.where(F.col("n") * den >= (F.col("n") + 1) * num) if num < den else reps.where("false")
-    return large.select("rid", "n", "bits", F.posexplode("prefix").alias("i", "token"))
+    return large.select("rid", "n", "bits", "bits2", F.posexplode("prefix").alias("i", "token"))
 
 
 def candidate_pairs(earlier: DataFrame, later: DataFrame, t: Fraction) -> DataFrame:
     """(a, b), a < b: lines that share a prefix token and can reach the threshold by sizes, places and bits."""
     num, den = t.numerator, t.denominator
-    a, b = (index.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("rid", "n", "bits", "i"))) for x, index in (("a", earlier), ("b", later)))
+    a, b = (index.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("rid", "n", "bits", "bits2", "i"))) for x, index in (("a", earlier), ("b", later)))
     sizes, most = F.col("a_n") + F.col("b_n"), F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
     keep = (
         (a["token"] == b["token"])
@@ -99,7 +99,7 @@ def candidate_pairs(earlier: DataFrame, later: DataFrame, t: Fraction) -> DataFr
         & (F.col("b_n") * den >= F.col("a_n") * num)
         & (most * (num + den) >= sizes * num)
         # in one set only: sizes - 2 * shared, and shared >= sizes * num / (num + den)
-        & (F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) * (num + den) <= sizes * (den - num))
+        & ((F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) + F.bit_count(F.col("a_bits2").bitwiseXOR(F.col("b_bits2")))) * (num + den) <= sizes * (den - num))
     )
     return a.join(b, keep).select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b")).distinct()
 
@@ -129,7 +129,7 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_i
     reps = materialize(distinct_lines(lines, ranks, t), "distinct-lines")
     index = prefix_index(reps, t)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    earliest = index.groupBy("token").agg(F.min(F.struct("rid", "n", "bits", "i")).alias("first"), F.count("*").alias("lines")).where("lines > 1").select("token", "first.*")
+    earliest = index.groupBy("token").agg(F.min(F.struct("rid", "n", "bits", "bits2", "i")).alias("first"), F.count("*").alias("lines")).where("lines > 1").select("token", "first.*")
     removed = matched(candidate_pairs(earliest, index, t), reps, texts, ranks, t)
     rest = prefix_index(reps.join(removed, "rid", "left_anti"), t)
     later = removed.unionByName(matched(candidate_pairs(index, rest, t), reps, texts, ranks, t))
