@@ -343,11 +343,11 @@ def content_key(spark, d):
 
 
 @query("""
-    WITH p AS (SELECT c_custkey, lower(regexp_replace(c_name, '#0+', '#')) AS name FROM customer)
+    WITH p AS (SELECT c_custkey, lower(regexp_replace(c_name, '#0+([1-9])', '#\\1')) AS name FROM customer)
     SELECT c_custkey, name, CAST(row_number() OVER (ORDER BY regexp_extract(name, '[^0-9]*'), CAST(regexp_extract(name, '[0-9]+') AS BIGINT), c_custkey) AS INT) AS place FROM p
 """)
 def natural_sort(spark, d):
-    p = _t(spark, d, "customer").select("c_custkey", F.lower(F.regexp_replace("c_name", "#0+", "#")).alias("name"))
+    p = _t(spark, d, "customer").select("c_custkey", F.lower(F.regexp_replace("c_name", "#0+([1-9])", "#$1")).alias("name"))
     return p.withColumn("place", F.row_number().over(Window.orderBy(X.natural_key(F.col("name")), "c_custkey")))
 
 
