@@ -29,25 +29,53 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+#: Rounds in which what a bucket has besides its center's component is held against one more member of that component.
+ROUNDS = 1
+
+
 def classes(entries: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """(node, label): the components of the verified links among nodes that share a bucket; nodes without a link are left out.
 
     entries: (node, bucket). prepare gets the nodes (node) in buckets of two and more, and gives the function that keeps
-    the links (a, b) of pairs (a, b). First each bucket's members are held against its least member. Where a bucket then
-    has members of several components, its pairs from different components are verified too; so every pair that shares a
-    bucket is either verified or known to be joined through others."""
+    the links (a, b) of pairs (a, b). First each bucket's members are held against its center, the member that meets most
+    others over all its buckets. Members outside the center's component are then held against further members of it, one
+    a round. Where a bucket still has several components after that, its pairs from different components are all
+    verified; so every pair that shares a bucket is either verified or known to be joined through others."""
     entries = materialize(entries.distinct(), "entries")
-    shared = entries.groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1").select("bucket", "center")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     crowded = materialize(entries.join(shared, "bucket"), "buckets")
-    verify = prepare(crowded.select("node").distinct())
-    star = materialize(crowded.where(F.col("node") != F.col("center")).select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    links = materialize(verify(star), "links")
+    weight = materialize(crowded.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
+    centers = crowded.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("c")).select("bucket", F.col("c.node").alias("center"))
+    members = materialize(crowded.select("bucket", "node").join(centers, "bucket"), "members")
+    verify = prepare(weight.select("node"))
+    tried = materialize(members.where(F.col("node") != F.col("center")).select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct(), "tried")
+    links = materialize(verify(tried), "links")
     labels = components(links)
-    member = crowded.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    mixed = member.groupBy("bucket").agg(F.min("label").alias("least"), F.max("label").alias("most")).where(F.col("least") != F.col("most")).select("bucket")
-    member = materialize(member.join(mixed, "bucket"), "mixed")
-    x, y = (member.select("bucket", F.col("node").alias(n), F.col("label").alias(f"{n}_label")) for n in ("a", "b"))
-    cross = x.join(y, (x["bucket"] == y["bucket"]) & (x["a"] < y["b"]) & (x["a_label"] != y["b_label"])).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+    for k in range(ROUNDS):
+        mixed = _mixed(members, labels)
+        if mixed.isEmpty():
+            break
+        main = mixed.where(F.col("label") == F.col("center_label")).groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")).alias("m")).select("bucket", F.col("m.node").alias("next"))
+        pairs = mixed.where(F.col("label") != F.col("center_label")).join(main, "bucket").select(F.least("next", "node").alias("a"), F.greatest("next", "node").alias("b")).distinct()
+        new = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
+        found = materialize(verify(new), "links")
+        tried = tried.unionByName(new)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = components(links)
+        release(mixed)
+    mixed = _mixed(members, labels)
+    x, y = (mixed.select("bucket", F.col("node").alias(n), F.col("label").alias(f"{n}_label")) for n in "ab")
+    cross = x.join(y, (x["bucket"] == y["bucket"]) & (x["a"] < y["b"]) & (x["a_label"] != y["b_label"])).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(verify(cross), "links")
-    release(entries, crowded, star, member)
+    release(entries, crowded, members, mixed)
     return labels if more.isEmpty() else components(links.unionByName(more))
+
+
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, center, label, center_label) of the members of buckets with several components."""
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_center = labels.select(F.col("node").alias("center"), F.col("label").alias("center_label"))
+    named = named.join(of_center, "center", "left").withColumn("center_label", F.coalesce("center_label", "center"))
+    several = named.where(F.col("label") != F.col("center_label")).select("bucket").distinct()
+    return materialize(named.join(several, "bucket", "left_semi").select("bucket", "node", "center", "label", "center_label"), "mixed")
