@@ -136,5 +136,7 @@ def read_records(index: DataFrame, *, gap: int = GAP, group: int = GROUP) -> Dat
         if wanted:
             yield from read(*_file_system(archive), wanted)
 
-    places = index.select("archive", "offset", "length").repartition("archive", F.expr(f"offset div {group}")).sortWithinPartitions("archive", "offset")
+    # as many partitions as groups of archive bytes: left to itself, Spark would size them by the far smaller index
+    total = index.agg(F.sum("length")).first()[0] or 0
+    places = index.select("archive", "offset", "length").repartition(int(total // group) + 1, "archive", F.expr(f"offset div {group}")).sortWithinPartitions("archive", "offset")
     return places.mapInArrow(run, schema)
