@@ -9,8 +9,10 @@ than all registers of its document, so that large documents need little more tha
 
 Registers are banded; documents with an equal band are candidates. In each bucket all members are held against one of
 them, verified candidates are joined to components, and what a bucket still has of different components is compared too,
-so no verified link between two components is missed, and no bucket with one component is expanded into pairs. The
-weighted Jaccard similarity of the whole shingle multisets decides.
+so no verified link between two components is missed, and no bucket with one component is expanded into pairs. Pairs
+that cannot reach the threshold by their sizes or their parity maps (each element of a multiset flips one of MAP_BITS
+bits, so the bits in which two maps differ are at most the elements in one multiset only) are never made. The weighted
+Jaccard similarity of the whole shingle multisets decides.
 
 Nulls and short texts: a text of fewer words than a shingle is one shingle; a text without words (null, empty, blank) is a
 class of its own row. Exact copies after lower-casing and squeezing white space form one node. Repeated rows are copies."""
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +32,7 @@ from .linking import classes
 
 U = np.uint64
 _CHUNK_WORDS = 400_000
+MAP_BITS = 1024
 
 
 def shingle_hashes(values: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,6 +94,22 @@ def signatures(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int,
     return name.reshape(n_docs, registers)
 
 
+def parity_maps(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int) -> np.ndarray:
+    """n_docs x MAP_BITS / 64 words: the parity of the number of elements at each bit; the copies of a shingle are elements of their own."""
+    copy = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    at = mix64(np.repeat(h, weight) ^ mix64(copy.astype(U) + U(0x2545F4914F6CDD1D))) % U(MAP_BITS)
+    odd = np.bincount(np.repeat(doc, weight) * MAP_BITS + at.astype(np.int64), minlength=n_docs * MAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).reshape(n_docs, MAP_BITS // 64)
+
+
+def possible(x: Column, y: Column, threshold: float) -> Column:
+    """Whether multisets of these sizes and parity maps may reach the threshold: elements in one of them only are at most (1 - t) / (1 + t) of all."""
+    total = x["size"] + y["size"]
+    apart = sum((F.bit_count(x[f"m{k}"].bitwiseXOR(y[f"m{k}"])) for k in range(MAP_BITS // 64)), F.lit(0))
+    most = total * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return (F.abs(x["size"] - y["size"]) <= most) & (apart <= most)
+
+
 def _chunks(column: pa.ListArray, most: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     offsets = column.offsets.to_numpy().astype(np.int64)
     values = column.values.to_numpy()
@@ -113,19 +132,25 @@ def _key(text) -> F.Column:
 
 
 def sign(docs: DataFrame, shingle: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, bands: long array) of every row."""
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """(id, key, bands: long array, traits: number of shingles and parity map) of every row."""
+    words = MAP_BITS // 64
+    traits = T.StructType([T.StructField("size", T.LongType()), *(T.StructField(f"m{k}", T.LongType()) for k in range(words))])
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("traits", traits)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, values, lengths in _chunks(batch.column(2), _CHUNK_WORDS):
                 h, doc = shingle_hashes(values, lengths, shingle)
-                sig = signatures(*bag(h, doc), b - a, bands * rows).reshape(b - a, bands, rows)
+                elements = bag(h, doc)
+                sig = signatures(*elements, b - a, bands * rows).reshape(b - a, bands, rows)
+                maps = parity_maps(*elements, b - a)
                 band = np.broadcast_to(np.arange(1, bands + 1, dtype=U), (b - a, bands)).copy()
                 for r in range(rows):
                     band = mix64(band * U(0x9E3779B97F4A7C15) + sig[:, :, r])
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands), pa.int32()), pa.array(band.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), flat], schema.names)
+                sizes = np.bincount(doc, minlength=b - a).astype(np.int64)
+                about = pa.StructArray.from_arrays([pa.array(sizes), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(words))], traits.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), flat, about], schema.names)
 
     return docs.select(F.col(id_col), _key(F.col(text_col)).alias("key"), _word_hashes(F.col(text_col)).alias("words")).mapInArrow(run, schema)
 
@@ -163,12 +188,13 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, shingle: int = 5
     nodes = signed.where(F.col("key").isNotNull())
     # nodes' bands, one row for each distinct text
     entries = nodes.groupBy("key").agg(F.first("bands").alias("bands")).select(F.col("key").alias("node"), F.explode("bands").alias("bucket"))
+    traits = nodes.groupBy("key").agg(F.first("traits").alias("traits")).withColumnRenamed("key", "node")
 
     def prepare(wanted: DataFrame):
         texts = _texts_of(docs, nodes, wanted, id_col, text_col)
         return lambda pairs: _verified(pairs, texts, shingle).where(F.col("similarity") >= threshold).select("a", "b")
 
-    labels = classes(entries, prepare)
+    labels = classes(entries, prepare, traits, lambda x, y: possible(x, y, threshold))
     of = signed.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     kept = of.where(F.col("label").isNotNull()).groupBy("label").agg(F.min(F.struct(F.col(id_col), F.col("row"))).alias("kept"))
     return of.join(kept, "label", "left").select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, release
@@ -29,53 +29,72 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-#: Rounds in which what a bucket has besides its center's component is held against one more member of that component.
-ROUNDS = 1
+#: Most rounds of random pairs between components of a bucket, and the links a member below which no further one is run.
+ROUNDS, WORTH = 6, 0.01
 
 
-def classes(entries: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def classes(entries: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], traits: DataFrame | None = None, possible: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(node, label): the components of the verified links among nodes that share a bucket; nodes without a link are left out.
 
     entries: (node, bucket). prepare gets the nodes (node) in buckets of two and more, and gives the function that keeps
     the links (a, b) of pairs (a, b). First each bucket's members are held against its center, the member that meets most
-    others over all its buckets. Members outside the center's component are then held against further members of it, one
-    a round. Where a bucket still has several components after that, its pairs from different components are all
-    verified; so every pair that shares a bucket is either verified or known to be joined through others."""
+    others over all its buckets. Then come rounds for buckets with several components: each member is dealt to one of as
+    many places as its bucket has members and held against those of other components at the next place, about one a
+    bucket and round. Rounds end once the pairs between components are no more than the members, or links have become
+    rare. The pairs from different components that then remain in a bucket are all verified; so every pair that shares a
+    bucket is either verified or known to be joined through others.
+
+    traits (node, traits) and possible, a condition on the traits of two nodes that every link meets, keep pairs that
+    cannot be links from being made at all in the rounds and after them."""
     entries = materialize(entries.distinct(), "entries")
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     crowded = materialize(entries.join(shared, "bucket"), "buckets")
     weight = materialize(crowded.groupBy("node").agg(F.sum("n").alias("weight")), "weights")
     centers = crowded.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("c")).select("bucket", F.col("c.node").alias("center"))
-    members = materialize(crowded.select("bucket", "node").join(centers, "bucket"), "members")
+    members = crowded.select("bucket", "node")
     verify = prepare(weight.select("node"))
-    tried = materialize(members.where(F.col("node") != F.col("center")).select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct(), "tried")
+    tried = materialize(members.join(centers, "bucket").where(F.col("node") != F.col("center")).select(F.least("center", "node").alias("a"), F.greatest("center", "node").alias("b")).distinct(), "tried")
     links = materialize(verify(tried), "links")
     labels = components(links)
     for k in range(ROUNDS):
-        mixed = _mixed(members, labels)
-        if mixed.isEmpty():
+        mixed, size, between = _mixed(members, labels, traits)
+        if between <= size:
             break
-        main = mixed.where(F.col("label") == F.col("center_label")).groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node")).alias("m")).select("bucket", F.col("m.node").alias("next"))
-        pairs = mixed.where(F.col("label") != F.col("center_label")).join(main, "bucket").select(F.least("next", "node").alias("a"), F.greatest("next", "node").alias("b")).distinct()
+        spot = F.pmod(F.xxhash64("bucket", "node", F.lit(k)), "n")
+        x, y = _side(mixed.withColumn("spot", spot), "a"), _side(mixed.withColumn("spot", F.pmod(spot + 1, "n")), "b")
+        pairs = x.join(y, (x["spot"] == y["spot"]) & _between(x, y, possible)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         new = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "tried")
         found = materialize(verify(new), "links")
+        n_found = found.count()
         tried = tried.unionByName(new)
-        if not found.isEmpty():
+        if n_found:
             links = links.unionByName(found)
             labels = components(links)
         release(mixed)
-    mixed = _mixed(members, labels)
-    x, y = (mixed.select("bucket", F.col("node").alias(n), F.col("label").alias(f"{n}_label")) for n in "ab")
-    cross = x.join(y, (x["bucket"] == y["bucket"]) & (x["a"] < y["b"]) & (x["a_label"] != y["b_label"])).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+        if n_found < WORTH * size:
+            break
+    mixed, _, _ = _mixed(members, labels, traits)
+    x, y = _side(mixed, "a"), _side(mixed, "b")
+    cross = x.join(y, _between(x, y, possible) & (x["a"] < y["b"])).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     more = materialize(verify(cross), "links")
-    release(entries, crowded, members, mixed)
+    release(entries, crowded, mixed)
     return labels if more.isEmpty() else components(links.unionByName(more))
 
 
-def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, node, center, label, center_label) of the members of buckets with several components."""
+def _side(mixed: DataFrame, name: str) -> DataFrame:
+    return mixed.withColumnRenamed("node", name).withColumnRenamed("label", f"{name}_label").withColumnRenamed("traits", f"{name}_traits")
+
+
+def _between(x: DataFrame, y: DataFrame, possible: Callable[[Column, Column], Column] | None) -> Column:
+    apart = (x["bucket"] == y["bucket"]) & (x["a_label"] != y["b_label"])
+    return apart if possible is None else apart & possible(x["a_traits"], y["b_traits"])
+
+
+def _mixed(members: DataFrame, labels: DataFrame, traits: DataFrame | None) -> tuple[DataFrame, int, int]:
+    """(bucket, node, label, n, traits) of the members of buckets with several components, n members; their number; the pairs of different components among them."""
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_center = labels.select(F.col("node").alias("center"), F.col("label").alias("center_label"))
-    named = named.join(of_center, "center", "left").withColumn("center_label", F.coalesce("center_label", "center"))
-    several = named.where(F.col("label") != F.col("center_label")).select("bucket").distinct()
-    return materialize(named.join(several, "bucket", "left_semi").select("bucket", "node", "center", "label", "center_label"), "mixed")
+    counts = named.groupBy("bucket", "label").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.sum("m").alias("n"), F.count("*").alias("several"), F.sum(F.col("m") * F.col("m")).alias("same"))
+    counts = materialize(counts.where("several > 1"), "mixed-counts")
+    size, between = counts.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()
+    found = named.join(counts.select("bucket", "n"), "bucket").select("bucket", "node", "label", "n")
+    return materialize(found if traits is None else found.join(traits, "node"), "mixed"), size or 0, int(between or 0)

@@ -1,8 +1,11 @@
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from chronoweave.llm import bagminhash, chroma, decontam, line_dedup
 
 
@@ -162,3 +165,23 @@ def test_align(a, b, shift):
     import numpy as np
 
     assert chroma.align(np.array(a, np.uint32), np.array(b, np.uint32)) == (shift, 8, 0.0)
+
+
+def test_parity_maps_never_rule_out_a_link(spark):
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(60):
+        x = [rng.randrange(40) for _ in range(rng.randrange(1, 300))]
+        y = [w if rng.random() < 0.97 else rng.randrange(40, 60) for w in x]
+        bags = [Counter(x), Counter(y)]
+        flat = [(d, h, w) for d in (0, 1) for h, w in bags[d].items()]
+        d, h, w = (np.array(v) for v in zip(*flat))
+        maps = bagminhash.parity_maps(d, bagminhash.mix64(h.astype(np.uint64)), w, 2)
+        alike = sum((bags[0] & bags[1]).values()) / sum((bags[0] | bags[1]).values())
+        rows.append((k, alike, *({"size": int(w[d == e].sum())} | {f"m{i}": int(maps[e, i]) for i in range(16)} for e in (0, 1))))
+    t = "struct<size:long," + ",".join(f"m{i}:long" for i in range(16)) + ">"
+    got = spark.createDataFrame(rows, f"k int, alike double, x {t}, y {t}").select("k", "alike", bagminhash.possible(F.col("x"), F.col("y"), 0.8).alias("ok")).collect()
+    assert all(r["ok"] for r in got if r["alike"] >= 0.8)
+    assert not all(r["ok"] for r in got) and sum(r["alike"] >= 0.8 for r in got) > 5
