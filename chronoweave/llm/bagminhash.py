@@ -210,7 +210,9 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, id_col: str,
     """(node, text) of the wanted nodes, one text for each."""
     pick = nodes.join(wanted.withColumnRenamed("node", "key"), "key", "left_semi").groupBy("key").agg(F.min(id_col).alias("pick"))
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(pick, F.col("_id").eqNullSafe(F.col("pick")))
-    return materialize(found.where(_key(F.col("text")) == F.col("key")).dropDuplicates(["key"]).select(F.col("key").alias("node"), "text"), "texts")
+    # not as an equality, which would become a join key that is computed and sorted for all texts
+    same = F.array_contains(F.array("key"), _key(F.col("text")))
+    return materialize(found.where(same).dropDuplicates(["key"]).select(F.col("key").alias("node"), "text"), "texts")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
