@@ -14,6 +14,7 @@ from __future__ import annotations
 import io
 import wave
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +115,7 @@ def fingerprint(df: DataFrame, column: str, *, id_col: str, decode: Callable[[ob
 def same_recordings(prints: DataFrame, *, id_col: str, most_errors: float = 0.2) -> DataFrame:
     """A row for each row of prints (id, codes): id, n_codes, class_id (the least id of the class), offset to the class's
     fingerprint of least node, and the share of unequal bits there (0 and 0.0 for that one and its copies; null where none aligns)."""
-    rows = prints.select(F.col(id_col), "codes", F.when(F.size("codes") > 0, F.unhex(F.md5(F.array_join(F.transform("codes", lambda c: c.cast("string")), ",")))).alias("node"))
+    rows = materialize(prints.select(F.col(id_col), "codes", F.when(F.size("codes") > 0, F.unhex(F.md5(F.array_join(F.transform("codes", lambda c: c.cast("string")), ",")))).alias("node")), "recordings")
     nodes = materialize(rows.where("node is not null").groupBy("node").agg(F.first("codes").alias("codes"), F.min(id_col).alias("least")), "prints")
     pairs_of = F.transform(F.slice(F.col("codes"), 2, F.greatest(F.lit(0), F.size("codes") - 1)), lambda c, i: F.xxhash64(F.get(F.col("codes"), i), c))
     entries = nodes.select("node", F.explode(F.array_distinct(pairs_of)).alias("bucket"))
@@ -144,7 +145,13 @@ def render_vector(vector: list[float]) -> tuple[np.ndarray, int]:
     loudness of four notes. Vectors close to each other sound alike."""
     v = np.abs(np.nan_to_num(np.array([x or 0.0 for x in vector], np.float32)))
     v = np.pad(v, (0, -len(v) % 4)).reshape(-1, 4)
-    t = np.arange(RATE // 4, dtype=np.float32) / RATE
-    k = np.arange(v.size).reshape(v.shape)
+    waves = _waves(len(v))
+    return np.einsum("ij,ijt->it", v, waves).ravel(), RATE
+
+
+@lru_cache(maxsize=4)
+def _waves(n: int) -> np.ndarray:
+    """The notes of n chords, four each, a quarter of a second long."""
+    k = np.arange(4 * n).reshape(n, 4)
     hz = (220 * 2 ** ((7 * k % 24) / 12)).astype(np.float32)
-    return np.einsum("ij,ijt->it", v, np.sin(2 * np.pi * hz[:, :, None] * t)).ravel(), RATE
+    return np.sin(2 * np.pi * hz[:, :, None] * (np.arange(RATE // 4, dtype=np.float32) / RATE))
