@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoweave.functions import text as X
-from chronoweave.operators import align, intervals, score, windows
+from chronoweave.operators import align, intervals, markup, score, windows
+from chronoweave.streaming import rollup
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -389,3 +390,40 @@ def nation_totals(spark, d):
 """)
 def pricing_cube(spark, d):
     return _t(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("net"), F.round(F.avg("l_discount"), 4).alias("discount"))
+
+
+@query(f"""
+    WITH e AS (SELECT user_id, event_id, event_type AS text, {_SEC} AS a, {_SEC} + 600 AS b FROM events),
+    g AS (SELECT *, a - lag(b) OVER w AS since, lag(text) OVER w AS prior FROM e WINDOW w AS (PARTITION BY user_id ORDER BY a, event_id)),
+    n AS (SELECT *, sum(CASE WHEN since < 7200 AND NOT (coalesce(regexp_matches(prior, '[.?!]$'), false) AND since >= 3600) THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY a, event_id ROWS UNBOUNDED PRECEDING) AS line_no FROM g)
+    SELECT user_id, CAST(line_no AS BIGINT) AS line_no, round(min(a), 3) AS start, round(max(b), 3) AS "end", count(*) AS n_words, string_agg(text, ' ' ORDER BY a, event_id) AS line FROM n GROUP BY 1, 2
+""")
+def transcript_lines(spark, d):
+    pieces = _events(spark, d).select("user_id", "event_id", F.col("event_type").alias("text"), F.col("sec").alias("a"), (F.col("sec") + 600).alias("b"))
+    lines = markup.transcript_lines(pieces, ["user_id"], tie="event_id", gap=7200, gap_after_sentence=3600)
+    return lines.select("user_id", "line_no", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "n_words", "line")
+
+
+@query(r"""
+    WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM conversations),
+    s AS (SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY i) AS t FROM l WHERE NOT regexp_matches(trim(line, ' '), '^([#>]|$)') GROUP BY 1, 2)
+    SELECT c.conv_id, c.turn, coalesce(trim(regexp_replace(regexp_replace(t, '\{[^{}]*\}', ' ', 'g'), '\s+', ' ', 'g')), CASE WHEN c.text IS NOT NULL THEN '' END) AS kept FROM conversations c LEFT JOIN s ON s.conv_id = c.conv_id AND s.turn = c.turn
+""")
+def kept_words(spark, d):
+    """The turns read as mark-up (they hold no strikes, stamps or comments; tests cover those)."""
+    return _t(spark, d, "conversations").select("conv_id", "turn", markup.kept_text(F.col("text")).alias("kept"))
+
+
+@query("""
+    SELECT user_id, CAST(floor(epoch_us(ts) / 21600e6) AS BIGINT) * 21600 AS window_start, count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS most FROM events GROUP BY 1, 2
+""")
+def windowed_rollup(spark, d):
+    """The aggregate that rollup.windowed also keeps over streams."""
+    w = rollup.windowed(_t(spark, d, "events"), ["user_id"], "ts", "value", size="6 hours")
+    return w.select("user_id", F.unix_seconds("window_start").alias("window_start"), "n", F.round("total", 4).alias("total"), "least", "most")
+
+
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 4) AS total FROM events")
+def moving_sum(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, 3)
+    return _t(spark, d, "events").select("event_id", F.round(F.sum("value").over(w), 4).alias("total"))
