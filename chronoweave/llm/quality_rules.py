@@ -45,7 +45,9 @@ def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
         "distinct_lines": F.size(F.array_distinct("_l")) / F.size("_l").cast("double"),
         "stops": share(".") * n / words,
     }
-    return base.withColumn("_s", F.struct(*(columns[k].cast("double").alias(k) for k in STATISTICS))).drop("_t", "_w", "_l")
+    row = F.struct(*(columns[k].cast("double").alias(k) for k in STATISTICS))
+    # generated, not projected: a filter on the score is pushed through a projection, and then each condition of each rule computes its statistic anew
+    return base.select("*", F.explode(F.array(row)).alias("_s")).drop("_t", "_w", "_l")
 
 
 @dataclass(frozen=True)
