@@ -126,15 +126,17 @@ def pack(
 
     def packed(rows: list[pa.RecordBatch], fragment: int) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows)
-        queue, ids = table.column("queue").to_pylist(), table.column("ids").to_pylist()
-        n = np.array([len(x) // 2 for x in ids], np.int64)
+        queue, ids, given = (table.column(c).to_pylist() for c in ("queue", "ids", "deficit"))
+        n = np.array([len(x or b"") // 2 for x in ids], np.int64)
         names = list(dict.fromkeys(queue))
         place = {q: k for k, q in enumerate(names)}
         mine: list[list[int]] = [[] for _ in names]
+        deficit = np.zeros(len(names))
         for r, q in enumerate(queue):
-            mine[place[q]].append(r)
-        given = table.column("deficit").to_pylist()
-        deficit = np.array([given[m[0]] or 0.0 for m in mine])
+            if ids[r] is None:  # not a document, but the deficit with which the queue starts
+                deficit[place[q]] = given[r]
+            else:
+                mine[place[q]].append(r)
         quantum = np.array([max(share.get(q, 0.0), 1e-9) for q in names]) * length
         at, within, open_id, offset = [0] * len(names), [0] * len(names), fragment, 0
         out: list[list[int]] = [[] for _ in range(7)]
@@ -177,4 +179,7 @@ def pack(
         if rows:
             yield from packed(rows, fragment)
 
-    return tokens.join(carried_deficits(tokens, share), ["block", "queue"], "left").select(id_col, "queue", "ids", "block", "deficit").mapInArrow(run, schema)
+    given = carried_deficits(tokens, share).select(F.lit(None).cast(kind).alias(id_col), "queue", F.lit(None).cast("binary").alias("ids"), "block", "deficit")
+    rows = tokens.select(id_col, "queue", "ids", "block", F.lit(None).cast("double").alias("deficit")).unionByName(given)
+    # a block is packed whole: a join could deal its queues to several tasks, and so could reading, which splits files
+    return rows.repartition("block").sortWithinPartitions("block", "queue").mapInArrow(run, schema)

@@ -59,6 +59,28 @@ def test_mixture():
     assert (first, second) == (100_000, 100_000)
 
 
+@pytest.mark.parametrize("threshold", ["-1", "10m"])
+def test_mixture_of_windows(spark, threshold):
+    share = {"a": 0.5, "b": 0.25, "c": 0.125, "d": 0.125}
+    rows = [(k, "some words to be packed here " * (10 + k % 7), "aaaabbcd"[k * 5 % 8]) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    held = {"spark.sql.autoBroadcastJoinThreshold": threshold, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        got = packing.pack(df, block_tokens=40_000).toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    per = got.groupby(["sequence_id", "queue"]).length.sum().unstack(fill_value=0)
+    whole = per[per.sum(axis=1) == 1024]
+    blocks = -(-got.length.sum() // 40_000) + 3  # the reading tasks' last ones
+    assert len(per) - len(whole) <= blocks
+    apart = (whole / 1024 - [share[q] for q in whole.columns]).abs().max(axis=1)
+    assert (apart < 0.3).mean() > 0.9 and apart.mean() < 0.15
+
+
 def test_count_tokens(docs, odd, none, plain):
     got = token_counts.count_tokens(docs.limit(40)).toPandas().groupby("doc_id")
     for doc_id, text in [(r.doc_id, r.text) for r in docs.limit(40).collect()]:
