@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,7 +27,7 @@ from .bpe import Encoder, tokenizer_path
 from .common import materialize
 
 BLOCK = 4_000_000
-#: Beyond so many sources, sources share queues by hash, so that the mixture's state stays small.
+#: Beyond so many sources, small ones that have no share of their own share queues by hash, so that the mixture's state stays small.
 MAX_QUEUES = 1024
 
 
@@ -67,11 +67,23 @@ def carried_deficits(tokens: DataFrame, shares: dict[str, float]) -> DataFrame:
     return (
         per.withColumn("own_before", F.coalesce(F.sum("own").over(own_before), F.lit(0)))
         .join(blocks, "block")
-        .join(F.broadcast(target), "queue")  # at most MAX_QUEUES rows
+        .join(F.broadcast(target), "queue")  # at most MAX_QUEUES rows, or those with shares and one more
         .select("block", "queue", (F.col("share") * F.col("all_before") - F.col("own_before")).alias("deficit"))
     )
 
 
+def shared_queues(totals: DataFrame, named: list[str], max_queues: int) -> Column:
+    """The queue of a source: its own if it is named or among the largest of totals (queue, n), which get half of the
+    queues that are left, else one by its hash. No source with a queue of its own has the name of a hashed one."""
+    left = max(1, max_queues - len(named))
+    largest = totals.where(~F.col("queue").isin(named)).orderBy(F.desc("n"), "queue").limit(left // 2).collect()
+    own = [*named, *(r["queue"] for r in largest)]
+    prefix = "#"
+    while any(q.startswith(prefix) for q in own):
+        prefix += "#"
+    return F.when(F.col("queue").isin(own), F.col("queue")).otherwise(F.concat(F.lit(prefix), F.pmod(F.xxhash64("queue"), F.lit(left - left // 2)).cast("string")))
+
+
 def round_robin(left: np.ndarray, deficit: np.ndarray, quantum: np.ndarray, least_piece: int) -> Iterator[tuple[int, int]]:
     """(queue, tokens) of each service, until the queues, which hold `left` tokens, are empty."""
     left, deficit, quantum = left.tolist(), deficit.tolist(), quantum.tolist()
@@ -109,13 +121,14 @@ def pack(
     """A row for each piece: id, source's queue, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     shares: target share of tokens by source; by default each source's share of all tokens, so that all queues last
-    until the end. Sources not named share what is left; once a block has no more of a source, the others fill up."""
+    until the end. Sources not named share what is left; once a block has no more of a source, the others fill up. With
+    more than max_queues sources, those in shares and the largest keep queues of their own; the others share the rest."""
     tokens = materialize(encode_documents(docs, tokenizer or tokenizer_path(), end_id, id_col, text_col, source_col, block_tokens), "packing-tokens")
     totals = tokens.groupBy("queue").agg(F.sum("n_tokens").alias("n"))
     if totals.count() > max_queues:
-        tokens = tokens.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(max_queues)).cast("string"))
+        tokens = tokens.withColumn("queue", shared_queues(totals, list(shares or {}), max_queues))
         totals = tokens.groupBy("queue").agg(F.sum("n_tokens").alias("n"))
-    have = {r["queue"]: int(r["n"]) for r in totals.collect()}  # at most max_queues rows
+    have = {r["queue"]: int(r["n"]) for r in totals.collect()}  # at most max_queues rows, or those with shares and one more
     named = {q: float(w) for q, w in (shares or {}).items() if q in have and w > 0}
     rest = {q: n for q, n in have.items() if q not in named}
     spare = max(0.0, 1 - sum(named.values())) if named else 1.0

@@ -81,6 +81,24 @@ def test_mixture_of_windows(spark, threshold):
     assert (apart < 0.3).mean() > 0.9 and apart.mean() < 0.15
 
 
+def test_many_sources(spark):
+    """Sources with shares and large ones keep their queues among many; a source may be named like a hashed queue."""
+    words = "some words to be packed here " * 20
+    rows = [(k, words, "named" if k % 4 == 0 else "#1" if k % 4 == 1 else "large" if k % 4 == 2 else f"s{k}") for k in range(800)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(1)
+    got = packing.pack(df, shares={"named": 0.6, "#1": 0.1, "absent": 0.2}, max_queues=8).toPandas()
+    at = dict((k, s) for k, _, s in rows)
+    assert got.doc_id.nunique() == 800 and got.queue.nunique() <= 8
+    for q, g in got.groupby("queue"):
+        sources = {at[k] for k in g.doc_id}
+        assert sources == {q} if q in ("named", "#1", "large") else all(s[0] == "s" for s in sources)
+    assert {"named", "#1", "large"} <= set(got.queue)
+    per = got.groupby(["sequence_id", "queue"]).length.sum().unstack(fill_value=0)
+    first = per.iloc[: len(per) // 4].sum()
+    # the shares of sources that are there: 0.6 and 0.1, and 0.3 for all others
+    assert abs(first["named"] / first.sum() - 0.6) < 0.05 and abs(first["#1"] / first.sum() - 0.1) < 0.05
+
+
 def test_count_tokens(docs, odd, none, plain):
     got = token_counts.count_tokens(docs.limit(40)).toPandas().groupby("doc_id")
     for doc_id, text in [(r.doc_id, r.text) for r in docs.limit(40).collect()]:
