@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, mix64, word_list
+from .common import has_words, materialize, mix64, word_list
 from .linking import classes
 
 U = np.uint64
@@ -220,8 +220,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return similarity(with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b"), shingle)
 
 
-def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one document of each class; all columns stay, one row of each set of repeated rows."""
+def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", one_wordless: bool = False, **options) -> DataFrame:
+    """docs with one document of each class; all columns stay, one row of each set of repeated rows.
+
+    one_wordless: whether texts without words are one class too, of which a row of the least id stays; else all stay."""
+    if one_wordless:
+        worded = has_words(F.col(text_col))
+        whole = without_near_duplicates(docs.where(worded), id_col=id_col, text_col=text_col, **options)
+        return whole.unionByName(docs.where(~worded).orderBy(id_col).limit(1))
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("keep").select(F.col(id_col).alias("_id"), F.col("key").alias("_key"))
     kept = materialize(kept, "kept")
     match = F.col("_id").eqNullSafe(F.col(id_col))

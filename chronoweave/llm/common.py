@@ -59,6 +59,11 @@ def word_list(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[ \t\n\r\f]+"), lambda w: w != "")
 
 
+def has_words(text: Column) -> Column:
+    """Whether a text has a word of word_list; a null text has none."""
+    return F.coalesce(text.rlike(r"[^ \t\n\r\f]"), F.lit(False))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64 on uint64 arrays; overflow wraps."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

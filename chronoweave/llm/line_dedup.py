@@ -28,7 +28,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import has_words, materialize, release
 
 BITS = 14
 BUCKETS = 1 << BITS
@@ -119,8 +119,10 @@ def matched(pairs: DataFrame, reps: DataFrame, texts: DataFrame, ranks: Column,
     return out
 
 
-def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text of each document without its removed lines, and the columns n_lines and n_removed besides."""
+def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", emptied: bool = True) -> DataFrame:
+    """docs with the text of each document without its removed lines, and the columns n_lines and n_removed besides.
+
+    emptied: whether documents stay whose lines with words all went."""
     t = Fraction(str(threshold)).limit_denominator(1000)
     if not 0 < t <= 1:
         raise ValueError("threshold must be above 0, at most 1")
@@ -136,6 +138,8 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_i
     kept = materialize(reps.join(later, "rid", "left_anti").groupBy(F.col("id").alias("k_id"), F.col("th").alias("k_th")).agg(F.collect_list("line_no").alias("k_lines")), "kept-lines")
     release(reps)
     whole = docs.withColumn("k_hash", F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("k_id")) & (F.col("k_hash") == F.col("k_th")), "left")
+    if not emptied:
+        whole = whole.where(F.col("k_lines").isNotNull() | ~has_words(F.col(text_col)))
     split = F.split(F.col(text_col), "\n")
     stays = F.filter(split, lambda line, i: F.coalesce(F.array_contains(F.col("k_lines"), i), F.lit(False)) | ~_has_words(line))
     counted = whole.select(*(F.col(c) for c in docs.columns), split.alias("_all"), stays.alias("_stays"))

@@ -1,8 +1,9 @@
 """The training-data pipeline: documents through five stages, each written as Parquet and read again.
 
 Stages (all columns of documents stay until the last): documents that the quality rules reject go; lines that repeat
-earlier ones go from the texts, n_chars following; of each class of near duplicates one document stays; documents with a
-benchmark passage go; the rest is packed. Documents whose lines all went have an empty text and stay until packing."""
+earlier ones go from the texts, n_chars following, and documents that have no words left by that go with them; of each
+class of near duplicates one document stays, and one of all that never had words; documents with a benchmark passage go;
+the rest is packed."""
 
 from __future__ import annotations
 
@@ -21,13 +22,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = line_dedup.dedup_lines(docs)
+    clean = line_dedup.dedup_lines(docs, emptied=False)
     kind = docs.schema["n_chars"].dataType
     return clean.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bagminhash.without_near_duplicates(docs)
+    return bagminhash.without_near_duplicates(docs, one_wordless=True)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,3 +109,16 @@ def test_pipeline(spark, sf_dir):
         assert out.columns == docs.columns and out.schema == docs.schema
         docs = P.materialize(out, "test-stage")
     assert P.run(spark, sf_dir).select("doc_id").distinct().count() == docs.count()
+
+
+def test_pipeline_leaves_one_of_each_group(spark, tmp_path):
+    import corpus_pipeline as P
+
+    words = [[f"{w}{k}" for k in range(12)] for w in "abc"]
+    one, many = " ".join(words[0]), "\n".join(" ".join(w) for w in words[1:])
+    groups = {"one line": [one] * 5, "lines": [many] * 4, "none": [None, "", " \n\t", "", None]}
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(t for g in groups.values() for t in g)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for name, stage in P.STAGES[1:3]:
+        docs = P.materialize(stage(spark, docs, str(tmp_path)), f"test-{name}")
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == [(0, one), (5, many), (9, None)]
