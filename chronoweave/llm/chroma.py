@@ -2,7 +2,7 @@
 
 Frames of the signal are folded into twelve pitch classes. FILTERS rectangles are laid over the image of frames and pitch
 classes; each compares the sums of two of its parts, read from the integral image, and is quantised to two bits, so each
-place in time gives one packed 32-bit integer. Recordings that share two following integers are candidates. Of a pair,
+place in time gives one packed 32-bit integer. Recordings that share an integer are candidates. Of a pair,
 the histogram of the offsets of equal integers gives the alignment, and the share of unequal bits over the frames that
 then overlap decides. Candidates are not expanded into all pairs: see linking.
 
@@ -117,8 +117,7 @@ def same_recordings(prints: DataFrame, *, id_col: str, most_errors: float = 0.2)
     fingerprint of least node, and the share of unequal bits there (0 and 0.0 for that one and its copies; null where none aligns)."""
     rows = materialize(prints.select(F.col(id_col), "codes", F.when(F.size("codes") > 0, F.unhex(F.md5(F.array_join(F.transform("codes", lambda c: c.cast("string")), ",")))).alias("node")), "recordings")
     nodes = materialize(rows.where("node is not null").groupBy("node").agg(F.first("codes").alias("codes"), F.min(id_col).alias("least")), "prints")
-    pairs_of = F.transform(F.slice(F.col("codes"), 2, F.greatest(F.lit(0), F.size("codes") - 1)), lambda c, i: F.xxhash64(F.get(F.col("codes"), i), c))
-    entries = nodes.select("node", F.explode(F.array_distinct(pairs_of)).alias("bucket"))
+    entries = nodes.select("node", F.explode(F.array_distinct("codes")).alias("bucket"))  # align needs one equal code, so none that it accepts is lost
     schema = "a binary, b binary, offset long, errors double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

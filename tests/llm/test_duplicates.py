@@ -159,6 +159,30 @@ def test_recordings(spark):
     assert {k: r.class_id for k, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 1}
 
 
+def test_recordings_with_errors(spark):
+    """Classes are those of align() over all pairs, up to the stated share of unequal bits."""
+    import numpy as np
+
+    draw = np.random.default_rng(7)
+    prints = []
+    for k in range(40):
+        a = draw.integers(0, 2**32, 110).astype(np.uint32)
+        flips = (draw.random((len(a), 32)) < 0.06 + 0.13 * k / 40) @ (1 << np.arange(32))
+        prints += [a, a ^ flips.astype(np.uint32)]
+    prints += [prints[0][:1] + np.uint32(1)] * 2 + [np.append(prints[-1], prints[-1][:1])[:1]]
+    prints += [np.array([11], np.uint32), np.array([11, 12], np.uint32)]
+    top = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if chroma.align(prints[i], prints[j])[2] <= 0.2 or chroma.align(prints[j], prints[i])[2] <= 0.2:
+                a, b = sorted((top[i], top[j]))
+                top = [a if x == b else x for x in top]
+    df = spark.createDataFrame([(k, p.view(np.int32).tolist()) for k, p in enumerate(prints)], "rec long, codes array<int>")
+    got = {r.rec: r.class_id for r in chroma.same_recordings(df, id_col="rec").collect()}
+    assert sum(top[2 * k] == top[2 * k + 1] for k in range(40)) > 20
+    assert got == dict(enumerate(top))
+
+
 @pytest.mark.parametrize("a,b,shift", [([1, 2, 3, 4, 5, 6, 7, 8], [9, 9, 1, 2, 3, 4, 5, 6, 7, 8], 2)])
 def test_align(a, b, shift):
     import numpy as np
