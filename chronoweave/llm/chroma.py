@@ -12,6 +12,7 @@ fingerprints are one node; repeated rows are copies. An empty table gives no row
 from __future__ import annotations
 
 import io
+import math
 import wave
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -39,8 +40,25 @@ def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
         return x.reshape(-1, f.getnchannels()).mean(axis=1), f.getframerate()
 
 
+def resample(samples: np.ndarray, rate: int) -> np.ndarray:
+    """The samples at RATE. Blocks with margins are cut or filled up in their spectra, so memory doesn't grow with the recording's length."""
+    g = math.gcd(rate, RATE)
+    up, down = RATE // g, rate // g
+    if up == down:
+        return samples
+    margin, core = down * -(-4096 // down), down * -(-(1 << 17) // down)
+    padded, out = np.pad(samples, (margin, margin + core)), []
+    for at in range(0, len(samples), core):
+        spectrum = np.fft.rfft(padded[at : at + core + 2 * margin])
+        n = (core + 2 * margin) // down * up
+        y = np.fft.irfft(spectrum[: n // 2 + 1], n) * (up / down)
+        out.append(y[margin // down * up : (margin + core) // down * up])
+    return np.concatenate([*out, np.zeros(0)])[: -(-len(samples) * up // down)].astype(np.float32)
+
+
 def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
-    """Frames x 12 energies, each frame scaled to length 1; frames without energy are zero."""
+    """Frames x 12 energies, of the samples at RATE, each frame scaled to length 1; frames without energy are zero."""
+    samples, rate = resample(samples, rate), RATE
     if len(samples) < FRAME:
         return np.zeros((0, 12))
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP] * np.hanning(FRAME).astype(np.float32)

@@ -159,6 +159,24 @@ def test_recordings(spark):
     assert {k: r.class_id for k, r in got.items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 1}
 
 
+def test_recordings_at_several_rates(spark):
+    import numpy as np
+
+    def tune(rate, seed):
+        draw, t = np.random.default_rng(seed), np.arange(rate // 4) / rate
+        return np.concatenate([sum(np.sin(2 * np.pi * 220 * 2 ** (k / 12) * t) for k in draw.integers(0, 24, 3)) / 4 for _ in range(24)])
+
+    rates = [4000, 8000, 16000, 44100, 48000]
+    rows = [(10 * seed + k, seed, rate) for seed in (1, 2) for k, rate in enumerate(rates)]
+    df = spark.createDataFrame([(k, [seed, rate]) for k, seed, rate in rows], "rec long, audio array<long>")
+    prints = chroma.fingerprint(df, "audio", id_col="rec", decode=lambda v: (tune(v[1], v[0]), v[1]))
+    got = {r.rec: r for r in chroma.same_recordings(prints, id_col="rec").collect()}
+    assert {k: r.class_id for k, r in got.items()} == {k: 10 * seed for k, seed, _ in rows}
+    assert all(abs(r.n_codes - got[10].n_codes) <= 1 and abs(r.offset) <= 1 for r in got.values())
+    long = np.sin(2 * np.pi * 440 * np.arange(44100 * 8) / 44100)  # several blocks
+    assert np.abs(chroma.resample(long, 44100)[200:-200] - np.sin(2 * np.pi * 440 * np.arange(32000) / 4000)[200:-200]).max() < 1e-2
+
+
 def test_recordings_with_errors(spark):
     """Classes are those of align() over all pairs, up to the stated share of unequal bits."""
     import numpy as np
