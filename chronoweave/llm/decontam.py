@@ -5,8 +5,8 @@ text-minus-item offsets (diagonals) within k of each other. So each document's q
 items' q-grams, the hits are counted in overlapping bands of 2*(k+1) diagonals by (document, item), bands that reach the
 bound are kept, and a banded alignment decides. The filter loses no match within the edit budget.
 
-The budget of an item: `error_rate` of its length, less where the lemma would give no bound; items shorter than q are
-looked for as they stand. Both sides are compared in lower case with white space squeezed; positions refer to that text.
+The budget of an item: `error_rate` of its length. Items too short for the lemma to give a bound at q have the largest
+shorter q that gives one; items shorter than q without a budget are looked for as they stand. Both sides are compared in lower case with white space squeezed; positions refer to that text.
 
 Nulls: a null or empty text or item matches nothing; a null doc_id stays. Repeated rows are each reported. An empty
 benchmark or table gives no rows. Texts are read whole."""
@@ -36,7 +36,7 @@ def _points(text: str) -> np.ndarray:
 
 def _grams(points: np.ndarray, q: int) -> np.ndarray:
     h = np.zeros(max(0, len(points) - q + 1), np.uint64)
-    for j in range(q):
+    for j in range(q if len(h) else 0):
         h = h * np.uint64(0x9E3779B97F4A7C15) + points[j : len(points) - q + 1 + j]
     return h ^ (h >> np.uint64(29))
 
@@ -72,9 +72,12 @@ class Index:
     def __init__(self, items: list[tuple[object, str]], q: int, error_rate: float):
         self.q, self.items = q, items
         m = np.array([len(t) for _, t in items], np.int64)
-        self.budget = np.where(m >= q, np.minimum((m * error_rate).astype(np.int64), np.maximum(0, (m - q) // q)), 0)
-        self.bound = np.maximum(1, m - q + 1 - self.budget * q)
-        grams = [_grams(_points(t), q) for _, t in items]
+        self.budget = np.maximum(0, np.minimum((m * error_rate).astype(np.int64), m - 1))
+        size = np.where((m < q) & (self.budget == 0), q, np.minimum(q, m // (self.budget + 1)))  # the largest with a bound of 1 and more
+        self.bound = m - q + 1 - self.budget * q
+        own = size == q
+        self.others = [(at, Index([items[i] for i in at], int(k), error_rate)) for k in np.unique(size[~own]) for at in [np.flatnonzero(size == k).tolist()]]
+        grams = [_grams(_points(t), q) if mine else np.zeros(0, np.uint64) for (_, t), mine in zip(items, own)]
         which = np.repeat(np.arange(len(items)), [len(g) for g in grams])
         place = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, np.int64)])
         flat = np.concatenate(grams or [np.zeros(0, np.uint64)])
@@ -83,7 +86,7 @@ class Index:
         self.grams, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.grams & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-        self.short = [(i, t) for i, (_, t) in enumerate(items) if 0 < len(t) < q]
+        self.short = [(i, t) for i, (_, t) in enumerate(items) if 0 < len(t) < q and own[i]]
 
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text's number, item's number, distance, start, end), best per band, overlapping ones merged."""
@@ -121,7 +124,7 @@ class Index:
                 while at >= 0:
                     found.setdefault((d, i), []).append((0, at, at + len(t)))
                     at = text.find(t, at + len(t))
-        out = []
+        out = [(d, at[i], *x) for at, index in self.others for d, i, *x in index.matches(texts)]
         for (d, i), all_of in found.items():
             taken: list[tuple[int, int, int]] = []
             for x in sorted(set(all_of)):

@@ -114,6 +114,24 @@ def test_banded_distance():
         assert (got is None) == (want > k) and (got is None or got[0] == want)
 
 
+def test_short_items_have_their_whole_budget():
+    draw = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for error_rate in (0.08, 0.2):
+        items = ["".join(draw.choice(letters) for _ in range(m)) for m in [*range(3, 45), 120]]
+        texts = []
+        for t in items:
+            a, k = list(t), int(len(t) * error_rate)
+            for n in range(k):  # far apart
+                at = (2 * n + 1) * len(t) // (2 * k)
+                a[at] = draw.choice(["", "#", a[at] + "#"])
+            texts.append("- " * 20 + "".join(a) + " -" * 20)
+        got = {(d, i): x for d, i, x, *_ in decontam.Index(list(enumerate(items)), 10, error_rate).matches(texts)}
+        want = {(d, i): _distance(t, x) for d, x in enumerate(texts) for i, t in enumerate(items)}
+        assert got == {at: x for at, x in want.items() if x <= int(len(items[at[1]]) * error_rate)}
+        assert len(got) >= len(items)
+
+
 def test_leaks(spark, docs, odd, none, sf_dir):
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     got = decontam.find_leaks(docs, benchmark).collect()
