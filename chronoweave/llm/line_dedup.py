@@ -8,109 +8,137 @@ document), has a Jaccard similarity of at least the threshold, whether that one
    as distinct as 64-bit hashes; the table of ranks has a fixed size.
 2. Lines with equal token sets are collapsed to the earliest (counts are merged before the shuffle, so a line that
    stands in a third of all documents costs no more than others).
-3. Of n tokens the n - ceil(t*n) + 1 first are the prefix. Lines that reach the threshold share a prefix token; the join on
-   prefix tokens holds the sizes (length filter) and what can still follow the first shared token in both (positional
+3. Of n tokens the n - ceil(t*n) + 1 first are the prefix, and n - ceil(2t/(1+t)*n) + 1 the short prefix. Of two lines that
+   reach the threshold, the smaller one's short prefix shares a token with the other's prefix; the join on
+   them holds the sizes (length filter) and what can still follow the first shared token in both (positional
    filter) against the needed overlap, and the bits in which the sets' parity maps of 128 bits differ, at most the number
    of tokens in one set only, against what the threshold allows. Sets too small to reach it without being equal are left out.
 4. For candidates alone, whole token sets are read from the text again and the similarity is computed.
-5. A line only needs one earlier match, so steps 3 and 4 are done twice: first against the earliest line of each prefix
-   token alone, then, for the lines that no match was found for, against all earlier lines. A family of many variants of
-   a line is thus not expanded into all its pairs.
+5. A line only needs one earlier match, so steps 3 and 4 are done twice: first against the earliest line of each token of
+   the short prefixes alone (one pass over the sorted tokens), then, for the lines that no match was found for, against
+   all earlier lines. A family of many variants of a line is thus not expanded into all its pairs.
 
-Lines without words always stay. A null text stays null. Repeated rows (equal id and text) are one document. Extra
-columns stay; an empty table gives an empty result."""
+Lines without words always stay. A null text stays null; texts are read whole, whatever their length. Repeated rows (equal
+id and text) are one document; rows of one id with other texts are documents of their own; of lines with equal token sets
+the earliest stays. Extra columns stay, whatever their names, but for n_lines and n_removed, which are replaced. An empty
+table gives an empty result."""
 
 from __future__ import annotations
 
 import json
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import has_words, materialize, release
 
 BITS = 14
 BUCKETS = 1 << BITS
+_KEPT = ("n", "bits", "bits2", "i")
+_ADDED = ("n_lines", "n_removed")
 
 
-def line_words(line: Column) -> Column:
-    """Words of a line between blanks, tabs, carriage returns and form feeds; the regular expression runs only where it is needed."""
-    odd = line.contains("\t") | line.contains("\r") | line.contains("\f")
-    return F.split(F.lower(F.when(odd, F.regexp_replace(line, "[\t\r\f]", " ")).otherwise(line)), " ")
+def normal_text(text: Column) -> Column:
+    """Lower case, with tabs, carriage returns and form feeds as blanks."""
+    odd, plain = F.lit(False), text
+    for c in "\t\r\f":
+        odd, plain = odd | text.contains(c), F.replace(plain, F.lit(c), F.lit(" "))
+    return F.lower(F.when(odd, plain).otherwise(text))
 
 
 def _has_words(line: Column) -> Column:
-    return F.trim(F.translate(line, "\t\r\f", "   ")) != ""
+    return F.trim(line, F.lit(" \t\r\f")) != ""
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
+    """(id, th, line_no, line) of the lines with words, their text normalised."""
+    every = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(normal_text(F.col(text_col)), "\n")).alias("line_no", "line"))
+    return every.where(F.trim("line") != "")
 
 
 def word_ranks(lines: DataFrame) -> Column:
-    """A constant array: the rank, by number of words, of each class of word hashes; classes without words are rarest."""
-    words = lines.select(F.explode(line_words(F.col("line"))).alias("word")).where("word != ''")
+    """A constant array: the rank, by number of words, of each class of word hashes, at the place of a key's leading bits; classes without words are rarest."""
+    words = lines.select(F.explode(F.split("line", " ")).alias("word")).where("word != ''")
     counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - BITS).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    ranks = [0] * BUCKETS
+    ranks = [-1 << 63] * BUCKETS
     for k, r in enumerate(sorted(counts.collect(), key=lambda r: (r["n"], r["bucket"]))):  # at most BUCKETS rows
-        ranks[r["bucket"]] = k
-    return F.from_json(F.lit(json.dumps(ranks)), "array<int>")
+        ranks[r["bucket"]] = (k - BUCKETS // 2) << 64 - BITS
+    return F.from_json(F.lit(json.dumps(ranks)), "array<bigint>")
 
 
 def _tokens(line: Column, ranks: Column) -> Column:
-    """Distinct order keys of a line's words, rarest first."""
-
-    def key(word: Column) -> Column:
-        h = F.xxhash64(word)
-        rank = F.coalesce(F.get(ranks, F.shiftrightunsigned(h, 64 - BITS).cast("int")), F.lit(0)).cast("long")
-        return F.shiftleft(rank - F.lit(BUCKETS // 2), 64 - BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << 64 - BITS) - 1)))
-
-    return F.sort_array(F.array_distinct(F.transform(F.filter(line_words(line), lambda w: w != ""), key)))
+    """Distinct order keys of a normalised line's words, rarest first."""
+    hashes = F.transform(F.array_remove(F.split(line, " "), ""), lambda word: F.xxhash64(word))
+    keys = F.transform(hashes, lambda h: F.get(ranks, F.shiftrightunsigned(h, 64 - BITS).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << 64 - BITS) - 1))))
+    return F.sort_array(F.array_distinct(keys))
 
 
 def distinct_lines(lines: DataFrame, ranks: Column, t: Fraction) -> DataFrame:
-    """A row for each token set: rid, the earliest line's id, th and line_no, size n and the prefix."""
-    sized = lines.select("id", "th", "line_no", _tokens(F.col("line"), ranks).alias("tokens")).where(F.size("tokens") > 0).withColumn("n", F.size("tokens"))
+    """A row for each token set: rid, the earliest line's id, th and line_no, size n, its parity map of 128 bits and the prefix."""
+    sized = lines.select("id", "th", "line_no", _tokens(F.col("line"), ranks).alias("tokens")).withColumn("n", F.size("tokens"))
     needed = F.expr(f"cast((n * {t.numerator} + {t.denominator - 1}) div {t.denominator} as int)")
-    keyed = sized.select(F.xxhash64("tokens").alias("s"), F.xxhash64(F.col("n"), F.col("tokens")).alias("s2"), "id", "th", "line_no", "n", F.expr("aggregate(tokens, 0L, (bits, x) -> bits ^ if((x & 64) = 0, shiftleft(1L, cast(x & 63 as int)), 0L))").alias("bits"), F.expr("aggregate(tokens, 0L, (bits, x) -> bits ^ if((x & 64) = 0, 0L, shiftleft(1L, cast(x & 63 as int))))").alias("bits2"), F.slice("tokens", 1, F.col("n") - needed + 1).alias("prefix"))
+    # bits are those of all tokens, bits2 of the tokens whose 7th bit is set
+    bits = F.expr("aggregate(tokens, 0L, (bits, x) -> bits ^ shiftleft(1L, cast(x & 63 as int)))").alias("bits")
+    bits2 = F.expr("aggregate(tokens, 0L, (bits, x) -> bits ^ shiftleft(shiftright(x, 6) & 1L, cast(x & 63 as int)))").alias("bits2")
+    keyed = sized.select(F.xxhash64("tokens").alias("s"), F.xxhash64(F.col("n"), F.col("tokens")).alias("s2"), "id", "th", "line_no", "n", bits, bits2, F.slice("tokens", 1, F.col("n") - needed + 1).alias("prefix"))
     first = keyed.groupBy("s", "s2").agg(F.min(F.struct("id", "th", "line_no", "n", "bits", "bits2", "prefix")).alias("first")).select("first.*")
     ordered = first.repartitionByRange("id", "th", "line_no").sortWithinPartitions("id", "th", "line_no")
     return ordered.select(F.monotonically_increasing_id().alias("rid"), "*")
 
 
-def prefix_index(reps: DataFrame, t: Fraction) -> DataFrame:
-    """(token, rid, n, bits, bits2, i), a row for each prefix token at place i; without the sets too small to match another one."""
+def prefix_index(reps: DataFrame, t: Fraction, *, short: bool) -> DataFrame:
+    """(token, rid, n, bits, bits2, i), a row for each prefix token at place i; without the sets too small to match another one.
+
+    short: the prefix that is enough for a set held against sets at least as large: at least 2 / (1 + 1/t) of its tokens are shared."""
     num, den = t.numerator, t.denominator
     # unequal sets share at most the smaller size, of one token less than the larger: n / (n + 1) must reach t
     large = reps.where(F.col("n") * den >= (F.col("n") + 1) * num) if num < den else reps.where("false")
-    return large.select("rid", "n", "bits", "bits2", F.posexplode("prefix").alias("i", "token"))
+    prefix = F.expr(f"slice(prefix, 1, n + 1 - cast((n * {2 * num} + {num + den - 1}) div {num + den} as int))") if short else F.col("prefix")
+    return large.select("rid", "n", "bits", "bits2", F.posexplode(prefix).alias("i", "token"))
 
 
-def candidate_pairs(earlier: DataFrame, later: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b), a < b: lines that share a prefix token and can reach the threshold by sizes, places and bits."""
+def _may_match(a: dict[str, Column], b: dict[str, Column], t: Fraction) -> Column:
+    """Whether two sets that share a prefix token may reach the threshold by sizes, places and bits."""
     num, den = t.numerator, t.denominator
-    a, b = (index.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("rid", "n", "bits", "bits2", "i"))) for x, index in (("a", earlier), ("b", later)))
-    sizes, most = F.col("a_n") + F.col("b_n"), F.least(F.col("a_n") - F.col("a_i"), F.col("b_n") - F.col("b_i"))
-    keep = (
-        (a["token"] == b["token"])
-        & (F.col("a_rid") < F.col("b_rid"))
-        & (F.col("a_n") * den >= F.col("b_n") * num)
-        & (F.col("b_n") * den >= F.col("a_n") * num)
+    sizes, most = a["n"] + b["n"], F.least(a["n"] - a["i"], b["n"] - b["i"])
+    odd, odd2 = a["bits"].bitwiseXOR(b["bits"]), a["bits2"].bitwiseXOR(b["bits2"])
+    return (
+        (a["n"] * den >= b["n"] * num)
+        & (b["n"] * den >= a["n"] * num)
         & (most * (num + den) >= sizes * num)
         # in one set only: sizes - 2 * shared, and shared >= sizes * num / (num + den)
-        & ((F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) + F.bit_count(F.col("a_bits2").bitwiseXOR(F.col("b_bits2")))) * (num + den) <= sizes * (den - num))
+        & ((F.bit_count(odd.bitwiseXOR(odd2)) + F.bit_count(odd2)) * (num + den) <= sizes * (den - num))
     )
-    return a.join(b, keep).select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b")).distinct()
+
+
+def first_pairs(reps: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b), a < b: of each token of the short prefixes, its earliest line and each later one that may match it."""
+    by_token = Window.partitionBy("token").orderBy("rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = prefix_index(reps, t, short=True).withColumn("first", F.first(F.struct("rid", *_KEPT)).over(by_token))
+    a, b = ({c: F.col(f"first.{c}") for c in _KEPT}, {c: F.col(c) for c in _KEPT})
+    return sides.where((F.col("first.rid") < F.col("rid")) & _may_match(a, b, t)).select(F.col("first.rid").alias("a"), F.col("rid").alias("b")).distinct()
+
+
+def other_pairs(reps: DataFrame, removed: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b), a < b, b not removed: all lines that share a prefix token and may match, the smaller one by its short prefix."""
+    marked = reps.join(removed.withColumn("gone", F.lit(True)), "rid", "left")
+    flagged = marked.withColumn("rid", F.when(F.col("gone"), -1 - F.col("rid")).otherwise(F.col("rid")))  # a removed one's number below 0
+    x, y = (prefix_index(flagged, t, short=short).select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("rid", *_KEPT))) for side, short in (("x", True), ("y", False)))
+    a, b = ({c: F.col(f"{side}_{c}") for c in ("rid", *_KEPT)} for side in "xy")
+    p, q = (F.when(rid < 0, -1 - rid).otherwise(rid) for rid in (a["rid"], b["rid"]))
+    once = (a["n"] < b["n"]) | ((a["n"] == b["n"]) & (p != q))
+    stays = F.when(p < q, b["rid"]).otherwise(a["rid"]) >= 0
+    return x.join(y, (x["token"] == y["token"]) & once & stays & _may_match(a, b, t)).select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")).distinct()
 
 
 def matched(pairs: DataFrame, reps: DataFrame, texts: DataFrame, ranks: Column, t: Fraction) -> DataFrame:
     """(rid) of the later lines of the pairs that reach the threshold, by the lines' whole token sets."""
     pairs = materialize(pairs, "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    by_doc = reps.join(wanted, "rid", "left_semi").groupBy(F.col("id").alias("at_id"), F.col("th").alias("at_th")).agg(F.collect_list(F.struct("rid", F.col("line_no").alias("at_no"))).alias("at"))
-    found = texts.join(by_doc, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th"))).select(F.split("text", "\n").alias("lines"), F.inline("at"))
-    sets = materialize(found.select("rid", F.get("lines", F.col("at_no")).alias("line")).select("rid", _tokens(F.col("line"), ranks).alias("tokens")).dropDuplicates(["rid"]), "line-sets")
+    by_doc = reps.select("rid", "id", "th", "line_no").join(wanted, "rid", "left_semi").groupBy(F.col("id").alias("at_id"), F.col("th").alias("at_th")).agg(F.collect_list(F.struct("rid", F.col("line_no").alias("at_no"))).alias("at"))
+    found = texts.join(by_doc, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th"))).select(F.split(normal_text(F.col("text")), "\n").alias("lines"), F.inline("at"))
+    sets = materialize(found.select("rid", _tokens(F.get("lines", F.col("at_no")), ranks).alias("tokens")).dropDuplicates(["rid"]), "line-sets")
     a, b = (sets.select(F.col("rid").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     alike = pairs.join(a, "a").join(b, "b").where(shared * (t.numerator + t.denominator) >= (F.size("a_tokens") + F.size("b_tokens")) * t.numerator)
@@ -129,22 +157,21 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_i
     lines = _lines(docs, id_col, text_col)
     ranks = word_ranks(lines)
     reps = materialize(distinct_lines(lines, ranks, t), "distinct-lines")
-    index = prefix_index(reps, t)
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    earliest = index.groupBy("token").agg(F.min(F.struct("rid", "n", "bits", "bits2", "i")).alias("first"), F.count("*").alias("lines")).where("lines > 1").select("token", "first.*")
-    removed = matched(candidate_pairs(earliest, index, t), reps, texts, ranks, t)
-    rest = prefix_index(reps.join(removed, "rid", "left_anti"), t)
-    later = removed.unionByName(matched(candidate_pairs(index, rest, t), reps, texts, ranks, t))
+    removed = matched(first_pairs(reps, t), reps, texts, ranks, t)
+    later = removed.unionByName(matched(other_pairs(reps, removed, t), reps, texts, ranks, t))
     kept = materialize(reps.join(later, "rid", "left_anti").groupBy(F.col("id").alias("k_id"), F.col("th").alias("k_th")).agg(F.collect_list("line_no").alias("k_lines")), "kept-lines")
     release(reps)
-    whole = docs.withColumn("k_hash", F.xxhash64(text_col)).join(kept, F.col(id_col).eqNullSafe(F.col("k_id")) & (F.col("k_hash") == F.col("k_th")), "left")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))  # so that no column's name can clash
+    text = F.col("doc")[text_col]
+    whole = held.withColumn("k_hash", F.xxhash64(text)).join(kept, F.col("doc")[id_col].eqNullSafe(F.col("k_id")) & (F.col("k_hash") == F.col("k_th")), "left")
     if not emptied:
-        whole = whole.where(F.col("k_lines").isNotNull() | ~has_words(F.col(text_col)))
-    split = F.split(F.col(text_col), "\n")
+        whole = whole.where(F.col("k_lines").isNotNull() | ~has_words(text))
+    split = F.split(text, "\n")
     stays = F.filter(split, lambda line, i: F.coalesce(F.array_contains(F.col("k_lines"), i), F.lit(False)) | ~_has_words(line))
-    counted = whole.select(*(F.col(c) for c in docs.columns), split.alias("_all"), stays.alias("_stays"))
+    counted = whole.select("doc", split.alias("_all"), stays.alias("_stays"))
     return counted.select(
-        *(F.when(F.col(text_col).isNotNull(), F.array_join("_stays", "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns),
+        *(F.when(F.col("doc")[c].isNotNull(), F.array_join("_stays", "\n")).alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns if c not in _ADDED),
         F.coalesce(F.size("_all"), F.lit(0)).alias("n_lines"),
         F.coalesce(F.size("_all") - F.size("_stays"), F.lit(0)).alias("n_removed"),
     )
