@@ -15,7 +15,9 @@ bits, so the bits in which two maps differ are at most the elements in one multi
 Jaccard similarity of the whole shingle multisets decides.
 
 Nulls and short texts: a text of fewer words than a shingle is one shingle; a text without words (null, empty, blank) is a
-class of its own row. Exact copies after lower-casing and squeezing white space form one node. Repeated rows are copies."""
+class of its own row. Exact copies after lower-casing and squeezing white space form one node. Repeated rows are copies.
+Texts of any length are read whole; of documents of equal least id one stays. Columns other than id and text are only
+passed on, whatever their names. An empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -184,7 +186,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, shingle: int = 5
 
     A class is a connected component of documents whose weighted Jaccard similarity is at least `threshold`. Of repeated
     rows with the least id one is kept. The result carries row and key, which tell rows of equal id apart by their text."""
-    signed = materialize(sign(docs, shingle, bands, rows, id_col, text_col), "bags").withColumn("row", F.monotonically_increasing_id())
+    signed = materialize(sign(docs, shingle, bands, rows, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "bags")
     nodes = signed.where(F.col("key").isNotNull())
     # nodes' bands, one row for each distinct text
     entries = nodes.groupBy("key").agg(F.first("bands").alias("bands")).select(F.col("key").alias("node"), F.explode("bands").alias("bucket"))
@@ -230,9 +232,10 @@ def without_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col
         return whole.unionByName(docs.where(~worded).orderBy(id_col).limit(1))
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("keep").select(F.col(id_col).alias("_id"), F.col("key").alias("_key"))
     kept = materialize(kept, "kept")
-    match = F.col("_id").eqNullSafe(F.col(id_col))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))  # so that no column's name can clash
+    row, text = F.col("doc")[id_col], F.col("doc")[text_col]
+    match = F.col("_id").eqNullSafe(row)
     if kept.groupBy("_id").count().where("count > 1").isEmpty() and docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        return docs.join(kept.select("_id"), match, "left_semi").select(docs.columns)
-    same = docs.join(kept, match & F.col("_key").eqNullSafe(_key(F.col(text_col)))).select(*docs.columns, "_key")
-    whole = same.where("_key is not null").dropDuplicates([id_col, "_key"])
-    return whole.unionByName(docs.where(_key(F.col(text_col)).isNull()).withColumn("_key", F.lit(None).cast("binary"))).select(docs.columns)
+        return held.join(kept.select("_id"), match, "left_semi").select("doc.*")
+    same = held.join(kept, match & F.col("_key").eqNullSafe(_key(text))).select("doc", "_id", "_key").where("_key is not null")
+    return same.dropDuplicates(["_id", "_key"]).select("doc").unionByName(held.where(_key(text).isNull())).select("doc.*")

@@ -8,8 +8,10 @@ bound are kept, and a banded alignment decides. The filter loses no match within
 The budget of an item: `error_rate` of its length. Items too short for the lemma to give a bound at q have the largest
 shorter q that gives one; items shorter than q without a budget are looked for as they stand. Both sides are compared in lower case with white space squeezed; positions refer to that text.
 
-Nulls: a null or empty text or item matches nothing; a null doc_id stays. Repeated rows are each reported. An empty
-benchmark or table gives no rows. Texts are read whole."""
+Nulls: a null or empty text or item matches nothing; a null id is an id like others. Repeated rows are each reported; of rows
+of one id with different texts decontaminate drops those that hold a passage. Of equally good places in a band the leftmost
+start counts. Texts of any length are read whole. Columns other than id and text are only passed on, whatever their names.
+An empty benchmark or table gives no rows."""
 
 from __future__ import annotations
 
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters of benchmark text that one pass holds in each Python worker; larger benchmarks take several passes.
 PASS_CHARS = 8_000_000
@@ -142,6 +145,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = 10, error_rate
     passes = -(-int(total) // pass_chars) or 1
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType), *(T.StructField(c, T.IntegerType()) for c in ("distance", "start", "end", "item_chars"))])
 
+    kind = to_arrow_type(benchmark.schema[item_col].dataType)
+
     def one_pass(part: DataFrame) -> DataFrame:
         held = sorted(((r[0], normal(r[1])) for r in part.collect()), key=str)  # about pass_chars characters
         held = [x for x in held if x[1]]
@@ -159,7 +164,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = 10, error_rate
                     if rows := index.matches(texts[a:b]):
                         d, i, dist, lo, hi = map(list, zip(*rows))
                         yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array([a + x for x in d])), pa.array([shared.value[x][0] for x in i], pa.int64() if isinstance(shared.value[0][0], int) else None), *(pa.array(x, pa.int32()) for x in (dist, lo, hi, [len(shared.value[x][1]) for x in i]))],
+                            [ids.take(pa.array([a + x for x in d])), pa.array([shared.value[x][0] for x in i], kind), *(pa.array(x, pa.int32()) for x in (dist, lo, hi, [len(shared.value[x][1]) for x in i]))],
                             schema.names,
                         )
                     a = b
@@ -175,7 +180,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, q: int = 10, error_rate
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without the documents that hold a benchmark passage; all columns stay. Documents with a null id stay too."""
-    leaks = find_leaks(docs, benchmark, id_col=id_col, **options).select(id_col).distinct()
-    return docs.join(leaks, id_col, "left_anti").select(docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs without the documents that hold a benchmark passage; all columns stay."""
+    key = lambda row, text: F.struct(row.alias("id"), F.xxhash64(text).alias("hash"))
+    texts = docs.select(key(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    leaks = find_leaks(texts, benchmark, id_col="key", **options).select("key.*").distinct()
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    same = F.col("doc")[id_col].eqNullSafe(leaks["id"]) & (F.xxhash64(F.col("doc")[text_col]) == leaks["hash"])
+    return held.join(leaks, same, "left_anti").select("doc.*")

@@ -32,20 +32,21 @@ MAX_QUEUES = 1024
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, source_col: str, block_tokens: int = BLOCK) -> DataFrame:
-    """(id, queue, n_tokens, ids: little-endian unsigned 16-bit with the end id, block), not yet written."""
+    """(id, queue, n_tokens, ids with the end id in the encoder's dtype, block), not yet written."""
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField("queue", T.StringType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("block", T.LongType())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, end = Encoder(tokenizer), np.array([end_id], "<u2").tobytes()
+        coder = Encoder(tokenizer)
+        end = np.array([end_id], coder.dtype).tobytes()
         block, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
                 ids = [coder.packed(t or "") + end for t in part.column(1).to_pylist()]
-                n = [len(x) // 2 for x in ids]
+                n = [len(x) // len(end) for x in ids]
                 blocks = []
                 for m in n:
                     if held >= block_tokens:
@@ -123,7 +124,9 @@ def pack(
     shares: target share of tokens by source; by default each source's share of all tokens, so that all queues last
     until the end. Sources not named share what is left; once a block has no more of a source, the others fill up. With
     more than max_queues sources, those in shares and the largest keep queues of their own; the others share the rest."""
-    tokens = materialize(encode_documents(docs, tokenizer or tokenizer_path(), end_id, id_col, text_col, source_col, block_tokens), "packing-tokens")
+    tokenizer = tokenizer or tokenizer_path()
+    width = Encoder(tokenizer).dtype
+    tokens = materialize(encode_documents(docs, tokenizer, end_id, id_col, text_col, source_col, block_tokens), "packing-tokens")
     totals = tokens.groupBy("queue").agg(F.sum("n_tokens").alias("n"))
     if totals.count() > max_queues:
         tokens = tokens.withColumn("queue", shared_queues(totals, list(shares or {}), max_queues))
@@ -140,7 +143,7 @@ def pack(
     def packed(rows: list[pa.RecordBatch], fragment: int) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows)
         queue, ids, given = (table.column(c).to_pylist() for c in ("queue", "ids", "deficit"))
-        n = np.array([len(x or b"") // 2 for x in ids], np.int64)
+        n = np.array([len(x or b"") // int(width[2]) for x in ids], np.int64)
         names = list(dict.fromkeys(queue))
         place = {q: k for k, q in enumerate(names)}
         mine: list[list[int]] = [[] for _ in names]
@@ -158,7 +161,7 @@ def pack(
             while m:
                 row = mine[s][at[s]]
                 if wide[row] is None:
-                    wide[row] = memoryview(np.frombuffer(ids[row], "<u2").astype("<u4")).cast("B")
+                    wide[row] = memoryview(np.frombuffer(ids[row], width).astype("<u4")).cast("B")
                 start = within[s]
                 k = min(m, int(n[row]) - start, length - offset)
                 for c, v in zip(out, (row, start, k, zlib.crc32(wide[row][4 * start : 4 * (start + k)]), int(n[row]), open_id, offset)):

@@ -1,13 +1,16 @@
 """Personal data by patterns of their own form and by bootstrapped contexts.
 
-Base entities are what the four forms below match. They are the seeds: the words around them induce lexical patterns (the
-two words before, and the words on both sides). Pattern and instance confidences are then computed in turn on the graph of
+Base entities are what the four forms below match. They are the seeds, besides long words of hexadecimal digits, the seeds
+of secrets: the words around them induce lexical patterns (the two words before, the words on both sides, and the word
+before with the marks that follow it). Pattern and instance confidences are then computed in turn on the graph of
 patterns and instances: a pattern's is the share of its mentions that are instances of the kind, an instance's that of its
 patterns taken together. Patterns of high confidence and enough seeds mark mentions that no form matches, any word with a
-digit or '@' in it. The graph holds counts only, and is shuffled by pattern and by instance, hot ones being summed first.
+digit or '@' in it; secrets are only reported where a pattern marks them. The graph holds counts only, and is shuffled by pattern and by instance, hot ones being summed first.
 
-Base spans always stay; a found span never overlaps one. Counts are of base entities. Nulls: a null text is empty;
-repeated rows are treated each; an empty table gives no rows; texts are read whole."""
+Base spans always stay; a found span never overlaps one. Counts are of base entities. Nulls: a null text is empty, a null
+id stays; repeated rows are treated each, and those of an id told apart by a row number; of equally confident patterns of
+a mention the kind listed first counts. An empty table gives no rows; texts are read whole, words of any length included.
+Columns other than id and text are not read, so their names don't matter."""
 
 from __future__ import annotations
 
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, release
 
 # The kinds in order and their forms.
 KINDS = ("email", "ip", "card", "phone")
@@ -31,6 +34,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]+")
 _MARK = re.compile(r"[0-9@]+")
+#: A fifth kind, of the method alone: its seeds are words of at least 32 hexadecimal digits, letters and numbers among them.
+SECRET = len(KINDS)
+_HEX = re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,}")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -82,15 +88,28 @@ def _word(text: str) -> str:
     return re.sub(r"[^\w]+", "", text.lower())
 
 
+def _near(text: str, at: int, side: int, most: int = 3) -> list[str]:
+    """Up to `most` whole words before (side -1) or after a place, the nearest last or first."""
+    size = 64
+    while True:
+        part = (text[max(0, at - size) : at] if side < 0 else text[at : at + size]).split()
+        if len(part) > most or size >= (at if side < 0 else len(text) - at):
+            return part[-most:] if side < 0 else part[:most]
+        size *= 2
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
-    """The patterns of a mention; none without two words before it, or one on each side."""
-    before, after = text[max(0, start - 200) : start].split(), text[end : end + 200].split()
-    left = [_word(w) for w in before[-2:]]
+    """The patterns of a mention: two words before it, a word on each side, and the word before with the marks up to it."""
+    before, after = _near(text, start, -1), [x for x in map(_word, _near(text, end, 1)) if x]
+    left = [x for x in map(_word, before) if x]
     out = []
-    if len(left) == 2 and all(left):
-        out.append(f"{left[0]} {left[1]} _")
-    if left and left[-1] and after and _word(after[0]):
-        out.append(f"{left[-1]} _ {_word(after[0])}")
+    if len(left) > 1:
+        out.append(f"{left[-2]} {left[-1]} _")
+    if left and after:
+        out.append(f"{left[-1]} _ {after[0]}")
+    if left:
+        k = max(i for i, w in enumerate(before) if _word(w))
+        out.append(" ".join([before[k].lower(), *before[k + 1 :], "_"]))
     return out
 
 
@@ -111,8 +130,9 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
             a += 1
         while b > a and not text[b - 1].isalnum():
             b -= 1
-        if b - a >= 4 and all(b <= s or a >= e for s, _, e in base):
-            out.append((a, b, -1, text[a:b].lower(), contexts(text, a, b)))
+        if a < b and all(b <= s or a >= e for s, _, e in base):
+            word = text[a:b].lower()
+            out.append((a, b, SECRET if _HEX.fullmatch(word) else -1, word, contexts(text, a, b)))
     return out
 
 
@@ -155,17 +175,23 @@ def bootstrap(edges: DataFrame, *, rounds: int, least_confidence: float, least_s
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rounds: int = 3, least_confidence: float = 0.7, least_seeds: int = 3) -> DataFrame:
-    """A row for each row of docs: id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found."""
-    rows = materialize(extract(docs, id_col, text_col), "mentions").withColumn("row", F.monotonically_increasing_id())
+    """A row for each row of docs: id, n_email, n_ip, n_card, n_phone, base_sha256, spans (base ones and those found of the
+    four kinds), n_found (of the latter), secrets (spans, in the same form) and n_spans (all of them)."""
+    rows = materialize(extract(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "mentions")
     each = rows.select("row", F.inline("mentions"))
     edges = each.select(F.explode(F.array_distinct("patterns")).alias("pattern"), "instance", "kind").groupBy("pattern", "instance", "kind").agg(F.count("*").alias("n"))
-    good = bootstrap(materialize(edges, "edges"), rounds=rounds, least_confidence=least_confidence, least_seeds=least_seeds)
-    open_ones = each.where("kind < 0").select("row", "start", "end", F.explode("patterns").alias("pattern"))
+    edges = materialize(edges, "edges")
+    good = bootstrap(edges, rounds=rounds, least_confidence=least_confidence, least_seeds=least_seeds)
+    release(edges)
+    open_ones = each.where(~F.col("kind").between(0, SECRET - 1)).select("row", "start", "end", F.explode("patterns").alias("pattern"))
     found = open_ones.join(good, "pattern").groupBy("row", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
-    names = F.array(*(F.lit(k) for k in KINDS))
+    names = F.array(*(F.lit(k) for k in (*KINDS, "secret")))
     spans = found.groupBy(F.col("row").alias("f_row")).agg(F.collect_list(F.struct("start", "kind", "end")).alias("found"))  # a document's own
     base = F.transform(F.filter(F.split("base", ","), lambda x: x != ""), lambda x: F.struct(F.split(x, ":")[1].cast("long").alias("start"), (F.array_position(names, F.split(x, ":")[0]) - 1).cast("int").alias("kind"), F.split(x, ":")[2].cast("long").alias("end")))
     more = F.coalesce(F.col("found"), F.expr("cast(array() as array<struct<start: bigint, kind: int, end: bigint>>)"))
-    text = F.array_join(F.transform(F.array_sort(F.concat(base, more)), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    four, other = F.filter(more, lambda x: x["kind"] < SECRET), F.filter(more, lambda x: x["kind"] == SECRET)
+    text = lambda all_of: F.array_join(F.transform(F.array_sort(all_of), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     whole = rows.drop("mentions").join(spans, F.col("row") == F.col("f_row"), "left")
-    return whole.select(id_col, *(f"n_{k}" for k in KINDS), "base_sha256", F.when(F.col("found").isNull(), F.col("base")).otherwise(text).alias("spans"), F.size(more).cast("long").alias("n_found"))
+    counts = [f"n_{k}" for k in KINDS]
+    n_spans = sum((F.col(c) for c in counts), F.size(more).cast("long"))
+    return whole.select(id_col, *counts, "base_sha256", F.when(F.size(four) == 0, F.col("base")).otherwise(text(F.concat(base, four))).alias("spans"), F.size(four).cast("long").alias("n_found"), text(other).alias("secrets"), n_spans.alias("n_spans"))

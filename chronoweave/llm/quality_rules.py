@@ -5,7 +5,9 @@ Nothing but the statistics goes into a score. The model is fitted on the driver
 those whose ids hash lowest (a bounded sample; all else runs over all rows).
 
 Nulls: a null text has the statistics of an empty one, and a score. Rows with a null label or id don't take part in the
-fit; several labels of one id count as the largest. With labels of one kind, or none, the score is their share (0.5)."""
+fit; several labels of one id count as the largest, and of several texts of one id that with the least statistics. With
+labels of one kind, or none, the score is their share (0.5). Repeated rows are scored each; texts of any length are read
+whole; other columns stay, whatever their names. An empty table gives no rows."""
 
 from __future__ import annotations
 
@@ -22,8 +24,13 @@ STATISTICS = ("log_chars", "word_length", "symbols", "pipes", "exclamations", "c
 
 def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
     """docs with a column `_s`: the statistics, as a struct of doubles."""
-    t = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.withColumn("_t", t).withColumn("_w", F.split(F.regexp_replace(F.trim("_t"), r"[\s]+", " "), " ")).withColumn("_l", F.split("_t", "\n"))
+    return _statistics(docs, text_col).select("doc.*", "_s")
+
+
+def _statistics(docs: DataFrame, text_col: str) -> DataFrame:
+    """(doc, _s): the whole rows, so that no column's name can clash, and their statistics."""
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    base = held.withColumn("_t", F.coalesce(F.col("doc")[text_col], F.lit(""))).withColumn("_w", F.split(F.regexp_replace(F.trim("_t"), r"[\s]+", " "), " ")).withColumn("_l", F.split("_t", "\n"))
     n = F.greatest(F.length("_t"), F.lit(1)).cast("double")
     words = F.size("_w").cast("double")
 
@@ -47,7 +54,7 @@ def with_statistics(docs: DataFrame, text_col: str) -> DataFrame:
     }
     row = F.struct(*(columns[k].cast("double").alias(k) for k in STATISTICS))
     # generated, not projected: a filter on the score is pushed through a projection, and then each condition of each rule computes its statistic anew
-    return base.select("*", F.explode(F.array(row)).alias("_s")).drop("_t", "_w", "_l")
+    return base.select("doc", F.explode(F.array(row)).alias("_s"))
 
 
 @dataclass(frozen=True)
@@ -164,15 +171,16 @@ def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", id_
     """A model from at most max_rows of the labels given (rows to be held out must be taken away before)."""
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     some = one.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    known = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(some), F.col(id_col) == F.col("_id"))  # max_rows rows at most
-    rows = with_statistics(known, text_col).select(F.col("_id"), F.col("_y").cast("double").alias("_y"), "_s.*").dropDuplicates(["_id"]).toPandas().sort_values("_id")
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), F.col("id") == F.col("_id"))  # max_rows rows at most
+    each = _statistics(known, "text").select("doc._id", F.col("doc._y").cast("double").alias("_y"), "_s")
+    rows = each.groupBy("_id", "_y").agg(F.min("_s").alias("_s")).select("_id", "_y", "_s.*").toPandas().sort_values("_id")
     return fit(rows[list(STATISTICS)].to_numpy(float), rows["_y"].to_numpy(float))
 
 
 def with_score(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """docs with the columns score and predicted (1 from `threshold`)."""
-    score = model.column(F.col("_s"))
-    return with_statistics(docs, text_col).withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_s")
+    """docs with the columns score and predicted (1 from `threshold`) besides, in the place of any of these names."""
+    scored = _statistics(docs, text_col).select("doc", model.column(F.col("_s")).alias("score"))
+    return scored.select(*(F.col("doc")[c].alias(c) for c in docs.columns if c not in ("score", "predicted")), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def held_out(id_col: Column) -> Column:

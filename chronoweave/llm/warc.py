@@ -9,10 +9,12 @@ Reading: selected index rows are sorted by archive and offset; neighbouring rang
 
 Nulls: a null payload is empty, a null URL is the empty text; a record with a null id never is the one that others
 revisit, unless all of them are null (then all are responses). Rows of equal id and payload are of one kind. Line ends in
-a URL are percent-encoded. Payloads are written whole. An empty table gives an empty index."""
+a URL are percent-encoded. Payloads of any length are written whole, and a damaged one fails the reading. Columns other than
+id, URL and payload are not read, so their names don't matter. An empty table gives an empty index."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 import uuid
 import zlib
@@ -56,7 +58,9 @@ def record(record_id: str, url: str, payload: bytes, size: int, digest: str, ref
 
 
 def parse(member: bytes) -> dict:
-    """A record's fields: record_id, url, record_type, digest, refers_to, payload, payload_bytes (as the HTTP header says)."""
+    """A record's fields: record_id, url, record_type, digest, refers_to, payload, payload_bytes.
+
+    A response's payload is held against the size and digest of its headers; a revisit's are those of the payload it refers to."""
     raw = zlib.decompress(member, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = {k.decode(): v.decode() for k, v in _HEADER.findall(head + b"\r\n")}
@@ -64,7 +68,10 @@ def parse(member: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     bare = lambda x: x.removeprefix("<urn:record:").removesuffix(">")
     size = int(dict(_HEADER.findall(http.partition(b"\r\n")[2] + b"\r\n"))[b"Content-Length"])
-    return {"record_id": bare(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": bare(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None, "payload": payload, "payload_bytes": size}
+    digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+    if fields["WARC-Type"] == "response" and (len(payload) != size or hashlib.sha1(payload).hexdigest() != digest):
+        raise ValueError(f"the payload of record {fields['WARC-Record-ID']} does not have the size and digest of its headers")
+    return {"record_id": bare(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"], "digest": digest, "refers_to": bare(fields["WARC-Refers-To"]) if "WARC-Refers-To" in fields else None, "payload": payload, "payload_bytes": size}
 
 
 def write_archives(pages: DataFrame, path: str | None = None, *, least_bytes: int = 1000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", content_type: str = "text/html; charset=utf-8") -> DataFrame:

@@ -100,6 +100,89 @@ def test_personal_data(spark, odd, none):
     assert pii.find_personal_data(odd).count() == odd.count() and pii.find_personal_data(none).count() == 0
 
 
+def test_found_entities(spark):
+    """Contexts of seeds find entities of other forms: recall and precision on planted ones, which no seed equals."""
+    import random
+
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randrange(3, 8)))
+    rows, want, secrets = [], set(), set()
+    for k in range(600):
+        filler = " ".join(word() for _ in range(12))
+        if k % 6 == 0:
+            rows.append((k, f"{filler} please call {draw.choice(['+1 (555) 010-', '+49 30 1234 '])}{draw.randrange(1000, 9999)} {filler}"))
+        elif k % 6 == 1:
+            rows.append((k, f"{filler} please call x{draw.randrange(100, 999)} {filler}"))
+            want.add(k)
+        elif k % 6 == 2:
+            value = "%040x" % draw.getrandbits(160) if k % 4 else f"my{draw.randrange(10**6)}pass"
+            rows.append((k, f'{filler} token = "{value}" {filler}'))
+            secrets.add(k)
+        else:
+            rows.append((k, f"{filler} {draw.randrange(10**4)} {filler}"))
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {k for k, r in got.items() if r.n_found}
+    assert len(found & want) >= 0.9 * len(want) and len(found - want) <= 0.05 * len(want)
+    assert {k for k, r in got.items() if r.secrets} == secrets
+    assert all(r.n_spans == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_found + (r.secrets != "") for r in got.values())
+
+
+def test_found_over_a_whole_table(spark, sf_dir, docs):
+    """Every quoted token of the table's documents is found by its context, and nothing else."""
+    got = {r.doc_id: r for r in queries.op5_pii(spark, sf_dir).collect()}
+    for r in docs.collect():
+        spans = [(m.start(1), m.end(1)) for m in re.finditer(r'(?i)token = "([0-9a-f]{32,})"', r.text or "")]
+        assert [tuple(map(int, x.split(":")[1:])) for x in got[r.doc_id].secrets.split(",") if x] == spans
+        assert got[r.doc_id].spans == pii.written(pii.base_spans(r.text or "")) or got[r.doc_id].n_found
+
+
+def test_damaged_payload():
+    whole = warc.record("1", "u", b"x" * 50, 50, hashlib.sha1(b"x" * 50).hexdigest(), None, "1970-01-01T00:00:00Z", "text/html")
+    assert warc.parse(whole)["payload_bytes"] == 50
+    with pytest.raises(ValueError):
+        warc.parse(warc.record("1", "u", b"y" * 50, 50, hashlib.sha1(b"x" * 50).hexdigest(), None, "1970-01-01T00:00:00Z", "text/html"))
+
+
+def test_clashing_names(spark):
+    """Columns named like those the operators use inside are only passed on."""
+    from chronoweave.llm import bagminhash, decontam, line_dedup
+
+    extra = ["k_lines", "k_hash", "n_lines", "_key", "_id", "key", "row", "_t", "_w", "_l", "_s", "score", "doc", "id", "hash", "th", "line", "node", "class_id"]
+    rows = [(1, "a b c d e f g h", *extra), (1, "x y z x y z u v", *extra), (2, "a b c d e f g h", *extra), (None, "q r s t u v w", *extra), (3, None, *extra)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in extra))
+    benchmark = spark.createDataFrame([(7, "x y z x y z u v")], "item_id int, text string")
+    kept = lambda out, *gone: all(out.first()[c] == c for c in extra if c not in gone)
+    lines = line_dedup.dedup_lines(docs)
+    assert sorted(r.n_removed for r in lines.collect()) == [0, 0, 0, 0, 1] and kept(lines, "n_lines")
+    near = bagminhash.without_near_duplicates(docs)
+    assert near.columns == docs.columns and near.count() == 4 and kept(near)
+    clean = decontam.decontaminate(docs, benchmark)
+    assert clean.columns == docs.columns and kept(clean)
+    assert sorted((r.doc_id or 0, r.text) for r in clean.where("text is not null").collect()) == [(0, "q r s t u v w"), (1, "a b c d e f g h"), (2, "a b c d e f g h")]
+    model = quality_rules.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    scored = quality_rules.with_score(docs, model)
+    assert scored.columns == [*(c for c in docs.columns if c != "score"), "score", "predicted"] and kept(scored, "score") and scored.count() == 5
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, clashing names and an empty table through every stage."""
+    import corpus_pipeline as P
+
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(0, "some passage of a benchmark that is long")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = ["a b c d e f g", "a b c d e f g", None, "", " \n", "it holds some passage of a benchmark that is long", "x " * 30_000, "last words here stand alone"]
+    rows = [(k if k < 7 else None, t, "en", "s" if k % 2 else None, len(t or ""), "z") for k, t in enumerate(texts)] + [(0, texts[0], "en", None, 13, "z")]
+    for part in (rows, []):
+        docs = spark.createDataFrame(part, "doc_id long, text string, lang string, source string, n_chars long, _key string")
+        for name, stage in P.STAGES:
+            out = P.materialize(stage(spark, docs, str(tmp_path)), f"odd-{name}")
+            if name != "packing":
+                assert out.columns == docs.columns
+                assert {(r.doc_id, r.n_chars) for r in out.collect() if r.text} <= {(r.doc_id, len(r.text)) for r in out.collect() if r.text}
+                docs = out
+        assert not part or "some passage" not in "".join(r.text or "" for r in docs.collect())
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline as P
 

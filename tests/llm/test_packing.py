@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chronoweave.llm import packing, token_counts
@@ -10,9 +11,7 @@ from chronoweave.llm.bpe import Encoder, tokenizer_path
 
 @pytest.fixture(scope="module")
 def plain():
-    t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokenizer_path())
 
 
 def test_ids(docs, plain):
@@ -21,6 +20,22 @@ def test_ids(docs, plain):
         assert mine.encode(text) == plain.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["<|endoftext|> a", "a<|endoftext|><|endoftext|>b <|endof", "a" + " " * 12_000 + "b", "a" + " " * 12_000, "x" + "\n" * 15_000 + "\ny" + "\t" * 20_000 + "  z", "\u3000" * 11_000 + "q"])
+def test_ids_of_odd_texts(plain, text):
+    mine = Encoder(tokenizer_path())
+    assert mine.encode(text) == plain.encode(text, add_special_tokens=False).ids
+    starts, ends = mine.spans(text)
+    assert starts[0] == 0 and ends[-1] == len(text)
+
+
+def test_very_long_runs(spark):
+    texts = [f"q{mark * 2_000_000}z" for mark in (" ", "\n", "a")]
+    df = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    want = {k: len(Encoder(tokenizer_path()).encode(t)) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.n - 1 for r in packing.pack(df).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()} == want
+    assert {r.doc_id: r.doc_tokens for r in token_counts.count_tokens(df).collect()} == want
+
+
 def _check(frame, texts, plain):
     ids = {k: np.array(plain.encode(t or "", add_special_tokens=False).ids + [0], "<u4") for k, t in texts.items()}
     covered = {}
