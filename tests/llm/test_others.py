@@ -115,7 +115,7 @@ def test_found_entities(spark):
             rows.append((k, f"{filler} please call x{draw.randrange(100, 999)} {filler}"))
             want.add(k)
         elif k % 6 == 2:
-            value = "%040x" % draw.getrandbits(160) if k % 4 else f"my{draw.randrange(10**6)}pass"
+            value = "%040x" % draw.getrandbits(160) if k % 24 != 8 else f"my{draw.randrange(10**6)}pass"
             rows.append((k, f'{filler} token = "{value}" {filler}'))
             secrets.add(k)
         else:
