@@ -9,18 +9,12 @@ from pyspark.sql import functions as F
 def containing(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, width: float, how: str = "inner") -> DataFrame:
     """points joined to the intervals [start, end] that hold them, by equal keys and blocks of `width`: an equi-join, not
     a join by inequality. how: inner, left_semi or left_anti. Choose width near the usual length of an interval."""
-    i = intervals.withColumn("_block", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    i = intervals.withColumnsRenamed({k: f"_i_{k}" for k in keys}).withColumn("_i_block", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
     p = points.withColumn("_block", F.floor(F.col(at) / width))
-    match = F.lit(True)
+    match = (p["_block"] == i["_i_block"]) & (p[at] >= i[start]) & (p[at] <= i[end])
     for k in keys:
-        match = match & (p[k] == i[k])
-    match = match & (p["_block"] == i["_block"]) & (p[at] >= i[start]) & (p[at] <= i[end])
-    out = p.join(i, match, how).drop(p["_block"])
-    if how != "inner":
-        return out
-    for k in keys:
-        out = out.drop(i[k])
-    return out.drop(i["_block"])
+        match = match & (F.col(k) == F.col(f"_i_{k}"))
+    return p.join(i, match, how).drop("_block", "_i_block", *(f"_i_{k}" for k in keys))
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> DataFrame:
@@ -40,7 +34,8 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, right_a
     )
     w = Window.partitionBy(*keys).orderBy(at)
     before = F.last("_r", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    after = F.first("_r", ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    # backwards as a running value too: a frame that ends with the partition is made anew for every row
+    after = F.last("_r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, 0))
     out = both.withColumn("_b", before).withColumn("_a", after).where("_r is null")
     return out.withColumn("distance", F.least(F.col(at) - F.col("_b"), F.col("_a") - F.col(at))).drop("_r", "_a", "_b")
 
@@ -55,13 +50,20 @@ def sessions(df: DataFrame, keys: list[str], start: str, end: str, gap: float) -
 
 def bounded_merge(df: DataFrame, keys: list[str], start: str, end: str, gap: float, longest: float) -> DataFrame:
     """Greedy merge in order: an interval joins the open one if less than `gap` lies between and the open one is still
-    shorter than `longest`. A fold over each key's sorted intervals."""
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(start).cast("double").alias("a"), F.col(end).cast("double").alias("b")))).alias("_x"))
-    empty = F.expr("cast(array() as array<struct<a: double, b: double>>)")
+    shorter than `longest`.
+
+    Where `gap` or more lies after an interval a stretch ends whatever was merged, so only each stretch is folded, with the
+    open interval and those closed before it as the state."""
+    w = Window.partitionBy(*keys).orderBy("a", "b")
+    ordered = df.select(*keys, F.col(start).cast("double").alias("a"), F.col(end).cast("double").alias("b"))
+    cut = F.coalesce((F.col("a") - F.lag("b").over(w) >= gap).cast("int"), F.lit(1))
+    parts = ordered.withColumn("_cut", cut).withColumn("_part", F.sum("_cut").over(w)).groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("_x"))
+    state = F.struct(F.lit(None).cast("double").alias("a"), F.lit(None).cast("double").alias("b"), F.expr("cast(array() as array<struct<a: double, b: double>>)").alias("done"))
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        joins = (F.size(done) > 0) & (x["a"] - F.try_element_at(done, F.lit(-1))["b"] < gap) & (F.try_element_at(done, F.lit(-1))["b"] - F.try_element_at(done, F.lit(-1))["a"] < longest)
-        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.try_element_at(done, F.lit(-1))["a"].alias("a"), x["b"].alias("b"))))).otherwise(F.concat(done, F.array(F.struct(x["a"].alias("a"), x["b"].alias("b")))))
+    def step(s: Column, x: Column) -> Column:
+        joins = F.coalesce((x["a"] - s["b"] < gap) & (s["b"] - s["a"] < longest), F.lit(False))
+        closed = F.when(s["a"].isNull() | joins, s["done"]).otherwise(F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))))
+        return F.struct(F.when(joins, s["a"]).otherwise(x["a"]).alias("a"), x["b"].alias("b"), closed.alias("done"))
 
-    return rows.select(*keys, F.explode(F.aggregate("_x", empty, step)).alias("m")).select(*keys, F.col("m.a").alias("start"), F.col("m.b").alias("end"))
+    merged = F.aggregate("_x", state, step, lambda s: F.concat(s["done"], F.array(F.struct(s["a"].alias("a"), s["b"].alias("b")))))
+    return parts.select(*keys, F.explode(merged).alias("m")).select(*keys, F.col("m.a").alias("start"), F.col("m.b").alias("end"))

@@ -28,9 +28,10 @@ def median_of_three(value: str, partition: list[str], order: list[str]) -> Colum
 
 def framed_median(value: str, partition: list[str], order: list[str], reach: int) -> Column:
     """Median of the values within `reach` rows on each side, the ends repeated."""
-    w = Window.partitionBy(*partition).orderBy(*order)
+    w, back = Window.partitionBy(*partition).orderBy(*order), Window.partitionBy(*partition).orderBy(*(F.desc(c) for c in order))
+    # the first and last values are running ones, each in its own direction: a frame that ends with the partition is made anew for every row
     taps = [F.coalesce(F.lag(value, k).over(w), F.first(value).over(w.rowsBetween(Window.unboundedPreceding, 0))) for k in range(reach, 0, -1)]
-    taps += [F.col(value)] + [F.coalesce(F.lead(value, k).over(w), F.last(value).over(w.rowsBetween(0, Window.unboundedFollowing))) for k in range(1, reach + 1)]
+    taps += [F.col(value)] + [F.coalesce(F.lead(value, k).over(w), F.first(value).over(back.rowsBetween(Window.unboundedPreceding, 0))) for k in range(1, reach + 1)]
     return F.element_at(F.array_sort(F.array(*taps)), reach + 1)
 
 
@@ -40,6 +41,11 @@ def kth_largest(value: str, partition: list[str], order: list[str], reach: int,
     return F.element_at(F.sort_array(F.collect_list(value).over(w), asc=False), k)
 
 
+def moving_sum(value: str, partition: list[str], order: list[str], reach: int) -> Column:
+    """Sum of the values within `reach` rows on each side, fewer at the ends."""
+    return F.sum(value).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(-reach, reach))
+
+
 def level_db(mean_square: Column, floor: float = 1e-24) -> Column:
     """10 log10 of a mean square, with a floor so that silence has a value."""
     return 10 * F.log10(mean_square + F.lit(floor))
