@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.windows import percentiles
+
 
 def scale(measures: DataFrame, parts: list[str], complete_only: bool = False) -> DataFrame:
     """One row: mean_ and sd_ (population; 0 counts as 1) of each part, and raw_mean and raw_sd of the mean z."""
@@ -96,7 +98,7 @@ def resolved_scale(measures: DataFrame, parts: list[str], saved: DataFrame | Non
 def tone_distance(tones: DataFrame, rec: str = "path", tone: str = "tone") -> DataFrame:
     """(rec, tone_db): how far each tone is from the medians of the set, root mean square over its places."""
     each = tones.select(rec, F.posexplode(tone).alias("i", "v"))
-    middle = each.groupBy("i").agg(F.percentile("v", 0.5).alias("m"))  # a row for each place of a tone
+    middle = percentiles(each, ["i"], "v", {"m": 0.5})  # a row for each place of a tone
     return each.join(middle, "i").groupBy(rec).agg(F.sqrt(F.avg(F.pow(F.col("v") - F.col("m"), 2))).alias("tone_db"))
 
 

@@ -46,6 +46,45 @@ def moving_sum(value: str, partition: list[str], order: list[str], reach: int) -
     return F.sum(value).over(Window.partitionBy(*partition).orderBy(*order).rowsBetween(-reach, reach))
 
 
+def places(df: DataFrame, key: Column, tie: list[str], name: str = "place", buckets: int = 256) -> DataFrame:
+    """df with its place from 1 in the order of a key, ties by `tie`, without a window over all rows: a bounded sample of keys cuts the
+    order into buckets, rows are numbered within them, and the counts of the buckets before are added."""
+    keyed = df.withColumn("_key", key)
+    sample = keyed.select("_key").where("_key is not null").distinct().orderBy(F.xxhash64("_key"), "_key").limit(buckets - 1)
+    bounds = sorted(r["_key"] for r in sample.collect())  # at most buckets - 1 rows
+    above = sum((F.when(F.col("_key") >= F.lit(b), 1).otherwise(0) for b in bounds[1:]), F.when(F.col("_key") >= F.lit(bounds[0]), 1).otherwise(0)) if bounds else F.lit(0)
+    numbered = keyed.withColumn("_bucket", F.coalesce(above, F.lit(-1)))  # nulls first
+    counts = numbered.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))  # at most buckets + 1 rows
+    own = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", *tie))
+    return numbered.withColumn("_own", own).join(F.broadcast(offsets), "_bucket").withColumn(name, (F.col("_before") + F.col("_own")).cast("int")).drop("_key", "_bucket", "_own", "_before")
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], buckets: int = 256) -> DataFrame:
+    """(keys, a column for each share): exact percentiles, interpolated between neighbours, however many rows a key has.
+
+    Equal values are counted first. A sketch's bounds cut the values into buckets; their counts tell which ones hold the two
+    neighbours of a percentile, and only those are put in order. Keys must not be null; nulls of value don't count."""
+    at = [F.lit(1).alias("_all")] if not keys else []
+    by = keys or ["_all"]
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_c")).select("*", *at)
+    bounds = counted.agg(F.percentile_approx("_v", [k / buckets for k in range(1, buckets)], 1000)).first()[0] or []
+    cut = F.size(F.filter(F.lit([float(b) for b in sorted(set(bounds))]), lambda b: b <= F.col("_v"))) if bounds else F.lit(0)
+    cells = counted.withColumn("_b", cut)
+    sums = cells.groupBy(*by, "_b").agg(F.sum("_c").alias("_m"))
+    w = Window.partitionBy(*by)
+    running = sums.withColumn("_end", F.sum("_m").over(w.orderBy("_b"))).withColumn("_n", F.sum("_m").over(w))
+    asked = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), (F.lit(share) * (F.col("_n") - 1)).alias("rank")) for name, share in shares.items())))
+    ranks = running.withColumn("_q", asked).select(*by, "_b", "_q.name", "_q.rank", F.explode(F.array(F.floor("_q.rank"), F.ceil("_q.rank"))).alias("_r"), "_end", "_m").distinct()
+    inside = ranks.where((F.col("_r") < F.col("_end")) & (F.col("_r") >= F.col("_end") - F.col("_m"))).withColumn("_before", F.col("_end") - F.col("_m"))
+    wanted = cells.join(inside.select(*by, "_b").distinct(), [*by, "_b"], "left_semi")
+    ordered = wanted.withColumn("_to", F.sum("_c").over(Window.partitionBy(*by, "_b").orderBy("_v")))
+    hits = ordered.join(inside, [*by, "_b"]).where((F.col("_r") - F.col("_before") < F.col("_to")) & (F.col("_r") - F.col("_before") >= F.col("_to") - F.col("_c")))
+    ends = hits.groupBy(*by, "name", "rank").agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    between = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("rank") - F.floor("rank"))
+    return ends.withColumn("_p", between).groupBy(*by).agg(*(F.max(F.when(F.col("name") == name, F.col("_p"))).alias(name) for name in shares)).drop("_all")
+
+
 def level_db(mean_square: Column, floor: float = 1e-24) -> Column:
     """10 log10 of a mean square, with a floor so that silence has a value."""
     return 10 * F.log10(mean_square + F.lit(floor))

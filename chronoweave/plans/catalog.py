@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronoweave.functions import documents
 from chronoweave.functions import text as X
-from chronoweave.operators import align, intervals, markup, score, windows
+from chronoweave.operators import align, compare, intervals, markup, score, windows
 from chronoweave.streaming import rollup
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -276,9 +277,8 @@ def sentence_split(spark, d):
     SELECT vec_id, round(sqrt(avg(pow(v::DOUBLE - m, 2))), 5) AS distance FROM x JOIN m USING (i) GROUP BY 1
 """)
 def tone_distance(spark, d):
-    x = _t(spark, d, "embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
-    m = x.groupBy("i").agg(F.median("v").alias("m"))
-    return x.join(m, "i").groupBy("vec_id").agg(F.round(F.sqrt(F.avg(F.pow(F.col("v") - F.col("m"), F.lit(2)))), 5).alias("distance"))
+    tones = _t(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("tone"))
+    return score.tone_distance(tones, "vec_id").select("vec_id", F.round("tone_db", 5).alias("distance"))
 
 
 @query("SELECT vec_id, round(10 * log10(list_avg(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) + 1e-24), 4) AS db FROM embeddings")
@@ -318,8 +318,15 @@ def unlabelled_anti(spark, d):
     SELECT user_id, CAST(floor(epoch_us(ts) / 1e6 / 86400) AS BIGINT) AS day, count(*) AS n, round(median(value), 6) AS lift, round(quantile_cont(value, 0.9) - quantile_cont(value, 0.1), 6) AS spread FROM events GROUP BY ROLLUP (1, 2)
 """)
 def minute_rollup(spark, d):
+    """Each grain on its own: the total's percentiles come from counted buckets, not from one task's list of all values."""
     e = _events(spark, d).withColumn("day", F.floor(F.col("sec") / 86400).cast("long"))
-    return e.rollup("user_id", "day").agg(F.count("*").alias("n"), F.round(F.median("value"), 6).alias("lift"), F.round(F.percentile("value", F.lit(0.9)) - F.percentile("value", F.lit(0.1)), 6).alias("spread"))
+    parts = []
+    for keys in (["user_id", "day"], ["user_id"], []):
+        counts, spread = e.groupBy(*keys).agg(F.count("*").alias("n")), windows.percentiles(e, keys, "value", {"lo": 0.1, "lift": 0.5, "hi": 0.9})
+        whole = counts.join(spread, keys) if keys else counts.join(F.broadcast(spread))  # one row each
+        missing = [F.lit(None).cast(e.schema[k].dataType).alias(k) for k in ("user_id", "day") if k not in keys]
+        parts.append(whole.select(*keys, *missing, "n", F.round("lift", 6).alias("lift"), F.round(F.col("hi") - F.col("lo"), 6).alias("spread")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("""
@@ -349,7 +356,7 @@ def content_key(spark, d):
 """)
 def natural_sort(spark, d):
     p = _t(spark, d, "customer").select("c_custkey", F.lower(F.regexp_replace("c_name", "#0+([1-9])", "#$1")).alias("name"))
-    return p.withColumn("place", F.row_number().over(Window.orderBy(X.natural_key(F.col("name")), "c_custkey")))
+    return windows.places(p, X.natural_key(F.col("name")), ["c_custkey"])
 
 
 _CELL = "html"
@@ -425,5 +432,110 @@ def windowed_rollup(spark, d):
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 4) AS total FROM events")
 def moving_sum(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-3, 3)
-    return _t(spark, d, "events").select("event_id", F.round(F.sum("value").over(w), 4).alias("total"))
+    return _t(spark, d, "events").select("event_id", F.round(windows.moving_sum("value", ["user_id"], ["ts", "event_id"], 3), 4).alias("total"))
+
+
+@query("""
+    WITH e AS (SELECT event_id, user_id, CAST(floor(epoch_us(ts) / 1e6) AS BIGINT) AS sec, value FROM events)
+    SELECT event_id, count(*) OVER w AS n, round(max(value) OVER w, 6) AS most FROM e WINDOW w AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 7200 PRECEDING AND 3600 FOLLOWING)
+""")
+def time_range_frame(spark, d):
+    """A frame in seconds, not rows."""
+    w = Window.partitionBy("user_id").orderBy("second").rangeBetween(-7200, 3600)
+    return _events(spark, d).withColumn("second", F.floor("sec")).select("event_id", F.count("*").over(w).alias("n"), F.round(F.max("value").over(w), 6).alias("most"))
+
+
+@query("""
+    WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 200000), b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')
+    SELECT o_custkey, 'both' AS side FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT o_custkey, 'dear' FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT o_custkey, 'urgent' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)
+""")
+def set_operations(spark, d):
+    o = _t(spark, d, "orders")
+    a, b = o.where("o_totalprice > 200000").select("o_custkey"), o.where("o_orderpriority like '1%'").select("o_custkey")
+    side = lambda df, name: df.select("o_custkey", F.lit(name).alias("side"))
+    return side(a.intersect(b), "both").unionByName(side(a.distinct().exceptAll(b.distinct()), "dear")).unionByName(side(b.distinct().exceptAll(a.distinct()), "urgent"))
+
+
+@query("""
+    SELECT l_returnflag, l_linestatus, l_linenumber, count(*) AS n, grouping(l_returnflag) + 2 * grouping(l_linestatus) + 4 * grouping(l_linenumber) AS grain
+    FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linenumber), ())
+""")
+def grouping_sets(spark, d):
+    sets = [[F.col("l_returnflag"), F.col("l_linestatus")], [F.col("l_linenumber")], []]
+    grain = F.grouping("l_returnflag").cast("long") + 2 * F.grouping("l_linestatus") + 4 * F.grouping("l_linenumber")
+    return _t(spark, d, "lineitem").groupingSets(sets, "l_returnflag", "l_linestatus", "l_linenumber").agg(F.count("*").alias("n"), grain.alias("grain"))
+
+
+@query("""
+    WITH j AS (SELECT o_orderkey, '{"sig":"' || o_orderpriority || '","use":' || CASE WHEN o_orderstatus = 'F' THEN 'null' ELSE '"' || o_orderstatus || '"' END || '}' AS doc FROM orders)
+    SELECT o_orderkey, split_part(doc, '"', 4) AS sig, CASE WHEN doc LIKE '%"use":null}' THEN NULL ELSE split_part(doc, '"', 8) END AS used, 2 AS fields FROM j
+""")
+def decisions_json(spark, d):
+    """Decisions kept as JSON, read back into a map with an explicit schema."""
+    text = F.concat(F.lit('{"sig":"'), "o_orderpriority", F.lit('","use":'), F.when(F.col("o_orderstatus") == "F", "null").otherwise(F.concat(F.lit('"'), "o_orderstatus", F.lit('"'))), F.lit("}"))
+    m = F.from_json(text, "map<string, string>")
+    return _t(spark, d, "orders").withColumn("m", m).select("o_orderkey", F.element_at("m", "sig").alias("sig"), F.element_at("m", "use").alias("used"), F.size(F.map_keys("m")).alias("fields"))
+
+
+@query("""
+    WITH f AS (SELECT user_id, event_id AS error_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) AS n FROM events WHERE event_type = 'error')
+    SELECT e.event_id, f.error_id, CAST((epoch_us(e.ts) - f.t) AS BIGINT) AS age FROM events e ASOF LEFT JOIN (SELECT * FROM f WHERE n = 1) f ON e.user_id = f.user_id AND epoch_us(e.ts) >= f.t
+""")
+def as_of_error(spark, d):
+    """Each event with the last error of its user until then: one sort by user, a running last value."""
+    e = _t(spark, d, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
+    w = Window.partitionBy("user_id").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    last = F.max(F.when(F.col("event_type") == "error", F.struct("t", "event_id"))).over(w)
+    return e.withColumn("_e", last).select("event_id", F.col("_e.event_id").alias("error_id"), (F.col("t") - F.col("_e.t")).alias("age"))
+
+
+@query("""
+    SELECT user_id, strftime(ts, '%Y-%m') AS month, count(*) AS n, CAST(date_diff('day', min(ts)::DATE, max(ts)::DATE) AS INT) AS days, strftime(max(ts), '%Y-%m-%d') AS last_day FROM events GROUP BY 1, 2
+""")
+def monthly_activity(spark, d):
+    e = _t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.datediff(F.max("ts"), F.min("ts")).alias("days"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_day"))
+
+
+@query()
+def markdown_blocks(spark, d):
+    """Documents read as Markdown."""
+    return documents.blocks(_t(spark, d, "documents"), "doc_id", "text")
+
+
+@query()
+def manuscript_lines(spark, d):
+    """The lines to be read of the benchmark's items, with their tokens."""
+    lines = documents.lines(documents.blocks(_t(spark, d, "benchmark"), "item_id", "text"), "item_id")
+    return lines.select("item_id", "line_no", "para", "kind", "text", F.array_join("tokens", " ").alias("tokens"), "is_title")
+
+
+def _turns(spark, d):
+    c = _t(spark, d, "conversations").where("text is not null")
+    return c, Window.partitionBy("conv_id").orderBy("turn")
+
+
+@query()
+def turn_compare(spark, d):
+    """Each turn against the one before it: pick-ups, small differences, lines not found, additions."""
+    c, w = _turns(spark, d)
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc")
+    lines = documents.lines(c.select(key, F.lit(0).alias("block_no"), F.lit("body").alias("kind"), F.lag("text").over(w).alias("text")).where("text is not null"), "doc")
+    words = c.select(key, F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("pos", "text")).withColumn("start", F.col("pos").cast("double")).withColumn("end", F.col("pos") + 0.5)
+    return compare.compare(lines, words)
+
+
+@query()
+def said_differences(spark, d):
+    """Numbered differences between each turn and the one before it."""
+    c, w = _turns(spark, d)
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("doc")
+    blocks = c.select(key, F.lit(0).alias("block_no"), F.lag("text").over(w).alias("text")).where("text is not null")
+    words = c.select(key, F.posexplode(F.filter(F.split("text", r"\s+"), lambda x: x != "")).alias("pos", "text"))
+    return compare.said(blocks, words).select("doc", F.inline("differences"))
+
+
+@query()
+def plain_documents(spark, d):
+    """Documents in the punctuation of a transcript."""
+    return _t(spark, d, "documents").select("doc_id", F.md5(documents.plain(F.coalesce("text", F.lit("")))).alias("plain"))

@@ -74,3 +74,51 @@ def test_plain_and_wrap(spark):
     assert one(wrapped) == "a “~~b c~~,” d"
     rows = spark.createDataFrame([("x1234567890123456789012345",), ("x1234567890123456789012344",), ("x2",), ("x010",)], "n string")
     assert [r.n for r in rows.orderBy(X.natural_key(F.col("n"))).collect()] == ["x2", "x010", "x1234567890123456789012344", "x1234567890123456789012345"]
+
+
+def test_queries_against_their_definitions(spark, sf_dir):
+    """Queries that SQL cannot express, row by row against the plain functions over whole tables."""
+    from difflib import SequenceMatcher
+
+    from chronoweave.operators import align, compare
+    from chronoweave.plans import catalog
+
+    run = lambda name: catalog.queries()[name](spark, sf_dir).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert sorted((r.doc_id, r.block_no, r.kind, r.text) for r in run("markdown_blocks")) == sorted((i, k, *b) for i, t in docs.items() for k, b in enumerate(D.markdown_blocks(t)))
+    assert sorted((r.doc_id, r.pos, r.sentence) for r in run("sentence_split")) == sorted((i, k, s) for i, t in docs.items() for k, s in enumerate(X.split_sentences(t)))
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    want = [(i, s, " ".join(X.tokens(s))) for i, t in items.items() for _, b in D.markdown_blocks(t) for s in X.split_sentences(b) if X.tokens(s)]
+    assert sorted((r.item_id, r.text, r.tokens) for r in run("manuscript_lines")) == sorted(want)
+    turns = {}
+    for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        turns.setdefault(r.conv_id, []).append((r.turn, r.text))
+    pairs = [(f"{c}:{b[0]}", a[1], b[1]) for c, ts in turns.items() for a, b in zip(ts, ts[1:])]
+    said = sorted((k, d["n"], d["written"], d["said"]) for k, a, b in pairs for d in compare.said_against([a], b.split())[1])
+    assert sorted((r.doc, r.n, r.written, r.said) for r in run("said_differences")) == said
+    own = [(k, d["tag"], d["book"], d["read"]) for k, a, b in pairs for d in compare.compared([x for x in map(X.tokens, X.split_sentences(a.strip())) if x], [X.tokens(w) for w in b.split()])]
+    assert sorted((r.doc, r.tag, r.book, r.read) for r in run("turn_compare")) == sorted(own)
+    # what alignment rests on: the longest common blocks, junk not being left out
+    for _, a, b in pairs[:50]:
+        x, y = a.split(), b.split()
+        assert align.opcodes(x, y) == [o for o in SequenceMatcher(None, x, y, autojunk=False).get_opcodes() if o[0] != "equal"]
+
+
+def test_percentiles_and_places(spark):
+    import numpy as np
+
+    from chronoweave.operators import windows as W
+
+    draw = np.random.default_rng(8)
+    rows = [(k, float(v)) for k, n in (("a", 999), ("b", 1), ("c", 500)) for v in np.round(draw.normal(0, 3, n), 1)] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.lo, r.mid, r.hi) for r in W.percentiles(df, ["k"], "v", {"lo": 0.1, "mid": 0.5, "hi": 0.93}, buckets=16).collect()}
+    for k in "abc":
+        own = [v for q, v in rows if q == k and v is not None]
+        assert np.allclose(got[k], np.percentile(own, [10, 50, 93]))
+    whole = W.percentiles(df, [], "v", {"mid": 0.5}).first()
+    assert whole.asDict() == {"mid": float(np.percentile([v for _, v in rows if v is not None], 50))}
+    assert W.percentiles(df.limit(0), ["k"], "v", {"mid": 0.5}).count() == 0
+    names = spark.createDataFrame([(k, f"x{(k * 7919) % 1000}") for k in range(1000)], "i int, n string")
+    placed = W.places(names, X.natural_key(F.col("n")), ["i"], buckets=7).orderBy("place").collect()
+    assert [r.place for r in placed] == list(range(1, 1001)) and [r.n for r in placed] == [f"x{k}" for k in range(1000)]
