@@ -120,9 +120,8 @@ def first_pairs(reps: DataFrame, t: Fraction) -> DataFrame:
     return sides.where((F.col("first.rid") < F.col("rid")) & _may_match(a, b, t)).select(F.col("first.rid").alias("a"), F.col("rid").alias("b")).distinct()
 
 
-def other_pairs(reps: DataFrame, removed: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b), a < b, b not removed: all lines that share a prefix token and may match, the smaller one by its short prefix."""
-    marked = reps.join(removed.withColumn("gone", F.lit(True)), "rid", "left")
+def other_pairs(marked: DataFrame, t: Fraction) -> DataFrame:
+    """(a, b), a < b, b not gone: all lines that share a prefix token and may match, the smaller one by its short prefix."""
     flagged = marked.withColumn("rid", F.when(F.col("gone"), -1 - F.col("rid")).otherwise(F.col("rid")))  # a removed one's number below 0
     x, y = (prefix_index(flagged, t, short=short).select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("rid", *_KEPT))) for side, short in (("x", True), ("y", False)))
     a, b = ({c: F.col(f"{side}_{c}") for c in ("rid", *_KEPT)} for side in "xy")
@@ -159,9 +158,12 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_i
     reps = materialize(distinct_lines(lines, ranks, t), "distinct-lines")
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     removed = matched(first_pairs(reps, t), reps, texts, ranks, t)
-    later = removed.unionByName(matched(other_pairs(reps, removed, t), reps, texts, ranks, t))
-    kept = materialize(reps.join(later, "rid", "left_anti").groupBy(F.col("id").alias("k_id"), F.col("th").alias("k_th")).agg(F.collect_list("line_no").alias("k_lines")), "kept-lines")
-    release(reps)
+    # written, as the two sides of the join would each shuffle all lines for it
+    marked = materialize(reps.join(removed.withColumn("gone", F.lit(True)), "rid", "left").withColumn("gone", F.col("gone").isNotNull()), "marked-lines")
+    release(reps, removed)
+    later = matched(other_pairs(marked, t), marked, texts, ranks, t)
+    kept = materialize(marked.where("not gone").join(later, "rid", "left_anti").groupBy(F.col("id").alias("k_id"), F.col("th").alias("k_th")).agg(F.collect_list("line_no").alias("k_lines")), "kept-lines")
+    release(marked, later)
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))  # so that no column's name can clash
     text = F.col("doc")[text_col]
     whole = held.withColumn("k_hash", F.xxhash64(text)).join(kept, F.col("doc")[id_col].eqNullSafe(F.col("k_id")) & (F.col("k_hash") == F.col("k_th")), "left")
