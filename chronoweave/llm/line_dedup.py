@@ -69,9 +69,10 @@ def word_ranks(lines: DataFrame) -> Column:
 
 def _tokens(line: Column, ranks: Column) -> Column:
     """Distinct order keys of a normalised line's words, rarest first."""
-    hashes = F.transform(F.array_remove(F.split(line, " "), ""), lambda word: F.xxhash64(word))
+    hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda word: F.xxhash64(word))), F.xxhash64(F.lit("")))
+    # a key is as distinct as its hash: ranks are those of one class of leading bits each
     keys = F.transform(hashes, lambda h: F.get(ranks, F.shiftrightunsigned(h, 64 - BITS).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << 64 - BITS) - 1))))
-    return F.sort_array(F.array_distinct(keys))
+    return F.sort_array(keys)
 
 
 def distinct_lines(lines: DataFrame, ranks: Column, t: Fraction) -> DataFrame:
@@ -131,18 +132,33 @@ def other_pairs(marked: DataFrame, t: Fraction) -> DataFrame:
     return x.join(y, (x["token"] == y["token"]) & once & stays & _may_match(a, b, t)).select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")).distinct()
 
 
+def bitmap(hashes: DataFrame) -> Column:
+    """A constant array of 2^14 words: a bit for each class of 20 bits of the hashes. Its size is fixed; with very many hashes it rules nothing out."""
+    h = F.col(hashes.columns[0])
+    words = hashes.groupBy(F.shiftrightunsigned(h, 50).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{hashes.columns[0]}` & 63 as int))")).alias("bits"))
+    held = dict(map(tuple, words.collect()))  # at most 2^14 rows
+    return F.from_json(F.lit(json.dumps([held.get(k, 0) for k in range(1 << 14)])), "array<bigint>")
+
+
+def in_bitmap(bits: Column, h: Column) -> Column:
+    """Whether a hash may be one of a bitmap's: no join then shuffles the texts of the others."""
+    return F.get(bits, F.shiftrightunsigned(h, 50).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))) != 0
+
+
 def matched(pairs: DataFrame, reps: DataFrame, texts: DataFrame, ranks: Column, t: Fraction) -> DataFrame:
     """(rid) of the later lines of the pairs that reach the threshold, by the lines' whole token sets."""
     pairs = materialize(pairs, "line-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
     by_doc = reps.select("rid", "id", "th", "line_no").join(wanted, "rid", "left_semi").groupBy(F.col("id").alias("at_id"), F.col("th").alias("at_th")).agg(F.collect_list(F.struct("rid", F.col("line_no").alias("at_no"))).alias("at"))
-    found = texts.join(by_doc, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th"))).select(F.split(normal_text(F.col("text")), "\n").alias("lines"), F.inline("at"))
+    by_doc = materialize(by_doc, "line-places")
+    near = texts.where(in_bitmap(bitmap(by_doc.select("at_th")), F.col("th")))
+    found = near.join(by_doc, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th"))).select(F.split(normal_text(F.col("text")), "\n").alias("lines"), F.inline("at"))
     sets = materialize(found.select("rid", _tokens(F.get("lines", F.col("at_no")), ranks).alias("tokens")).dropDuplicates(["rid"]), "line-sets")
     a, b = (sets.select(F.col("rid").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     alike = pairs.join(a, "a").join(b, "b").where(shared * (t.numerator + t.denominator) >= (F.size("a_tokens") + F.size("b_tokens")) * t.numerator)
     out = materialize(alike.select(F.col("b").alias("rid")).distinct(), "matched")
-    release(pairs, sets)
+    release(pairs, sets, by_doc)
     return out
 
 
