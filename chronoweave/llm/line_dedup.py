@@ -145,11 +145,16 @@ def in_bitmap(bits: Column, h: Column) -> Column:
     return F.get(bits, F.shiftrightunsigned(h, 50).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))) != 0
 
 
+def may_be_in(lines: DataFrame) -> Column:
+    """Whether a line's rid may be one of these (rid): only such lines are then joined to them."""
+    return in_bitmap(bitmap(lines.select(F.xxhash64("rid").alias("h"))), F.xxhash64("rid"))
+
+
 def matched(pairs: DataFrame, reps: DataFrame, texts: DataFrame, ranks: Column, t: Fraction) -> DataFrame:
     """(rid) of the later lines of the pairs that reach the threshold, by the lines' whole token sets."""
     pairs = materialize(pairs, "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
-    by_doc = reps.select("rid", "id", "th", "line_no").join(wanted, "rid", "left_semi").groupBy(F.col("id").alias("at_id"), F.col("th").alias("at_th")).agg(F.collect_list(F.struct("rid", F.col("line_no").alias("at_no"))).alias("at"))
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "wanted-lines")
+    by_doc = reps.select("rid", "id", "th", "line_no").where(may_be_in(wanted)).join(wanted, "rid", "left_semi").groupBy(F.col("id").alias("at_id"), F.col("th").alias("at_th")).agg(F.collect_list(F.struct("rid", F.col("line_no").alias("at_no"))).alias("at"))
     by_doc = materialize(by_doc, "line-places")
     near = texts.where(in_bitmap(bitmap(by_doc.select("at_th")), F.col("th")))
     found = near.join(by_doc, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th"))).select(F.split(normal_text(F.col("text")), "\n").alias("lines"), F.inline("at"))
@@ -158,7 +163,7 @@ def matched(pairs: DataFrame, reps: DataFrame, texts: DataFrame, ranks: Column,
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     alike = pairs.join(a, "a").join(b, "b").where(shared * (t.numerator + t.denominator) >= (F.size("a_tokens") + F.size("b_tokens")) * t.numerator)
     out = materialize(alike.select(F.col("b").alias("rid")).distinct(), "matched")
-    release(pairs, sets, by_doc)
+    release(pairs, wanted, sets, by_doc)
     return out
 
 
@@ -175,10 +180,15 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_i
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
     removed = matched(first_pairs(reps, t), reps, texts, ranks, t)
     # written, as the two sides of the join would each shuffle all lines for it
-    marked = materialize(reps.join(removed.withColumn("gone", F.lit(True)), "rid", "left").withColumn("gone", F.col("gone").isNotNull()), "marked-lines")
+    maybe = may_be_in(removed)
+    sure = reps.where(~maybe).withColumn("gone", F.lit(False))
+    held = reps.where(maybe).join(removed.withColumn("gone", F.lit(True)), "rid", "left").withColumn("gone", F.col("gone").isNotNull())
+    marked = materialize(sure.unionByName(held), "marked-lines")
     release(reps, removed)
     later = matched(other_pairs(marked, t), marked, texts, ranks, t)
-    kept = materialize(marked.where("not gone").join(later, "rid", "left_anti").groupBy(F.col("id").alias("k_id"), F.col("th").alias("k_th")).agg(F.collect_list("line_no").alias("k_lines")), "kept-lines")
+    stay, maybe = marked.where("not gone").select("rid", "id", "th", "line_no"), may_be_in(later)
+    stay = stay.where(~maybe).unionByName(stay.where(maybe).join(later, "rid", "left_anti"))
+    kept = materialize(stay.groupBy(F.col("id").alias("k_id"), F.col("th").alias("k_th")).agg(F.collect_list("line_no").alias("k_lines")), "kept-lines")
     release(marked, later)
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))  # so that no column's name can clash
     text = F.col("doc")[text_col]
