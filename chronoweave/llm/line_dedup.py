@@ -11,8 +11,9 @@ document), has a Jaccard similarity of at least the threshold, whether that one
 3. Of n tokens the n - ceil(t*n) + 1 first are the prefix, and n - ceil(2t/(1+t)*n) + 1 the short prefix. Of two lines that
    reach the threshold, the smaller one's short prefix shares a token with the other's prefix; the join on
    them holds the sizes (length filter) and what can still follow the first shared token in both (positional
-   filter) against the needed overlap, and the bits in which the sets' parity maps of 128 bits differ, at most the number
-   of tokens in one set only, against what the threshold allows. Sets too small to reach it without being equal are left out.
+   filter) against the needed overlap, and the bits in which the sets' parity maps differ (of 64 bits, and of 128 for two
+   sets of LARGE tokens and more), at most the number of tokens in one set only, against what the threshold allows. Sets too
+   small to reach it without being equal are left out.
 4. For candidates alone, whole token sets are read from the text again and the similarity is computed.
 5. A line only needs one earlier match, so steps 3 and 4 are done twice: first against the earliest line of each token of
    the short prefixes alone (one pass over the sorted tokens), then, for the lines that no match was found for, against
@@ -35,6 +36,8 @@ from .common import has_words, materialize, release
 
 BITS = 14
 BUCKETS = 1 << BITS
+#: Sets from this size on have a parity map of 128 bits; the 64 bits of smaller ones tell enough of them apart.
+LARGE = 96
 _KEPT = ("n", "bits", "bits2", "i")
 _ADDED = ("n_lines", "n_removed")
 
@@ -57,46 +60,51 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return every.where(F.trim("line") != "")
 
 
-def word_ranks(lines: DataFrame) -> Column:
-    """A constant array: the rank, by number of words, of each class of word hashes, at the place of a key's leading bits; classes without words are rarest."""
-    words = lines.select(F.explode(F.split("line", " ")).alias("word")).where("word != ''")
+def word_ranks(docs: DataFrame, text_col: str) -> Column:
+    """A constant array, one number for each class of word hashes: xor with it turns a hash's leading bits into the class's rank by number of words. Classes without words are rarest."""
+    text = F.replace(normal_text(F.col(text_col)), F.lit("\n"), F.lit(" "))
+    words = docs.select(F.explode(F.split(text, " ")).alias("word")).where("word != ''")
     counts = words.groupBy(F.shiftrightunsigned(F.xxhash64("word"), 64 - BITS).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    ranks = [-1 << 63] * BUCKETS
-    for k, r in enumerate(sorted(counts.collect(), key=lambda r: (r["n"], r["bucket"]))):  # at most BUCKETS rows
-        ranks[r["bucket"]] = (k - BUCKETS // 2) << 64 - BITS
-    return F.from_json(F.lit(json.dumps(ranks)), "array<bigint>")
+    held = dict(map(tuple, counts.collect()))  # at most BUCKETS rows
+    turns = [0] * BUCKETS
+    for k, bucket in enumerate(sorted(range(BUCKETS), key=lambda b: (held.get(b, 0), b))):
+        turns[bucket] = _signed(((k - BUCKETS // 2) % BUCKETS ^ bucket) << 64 - BITS)
+    return F.from_json(F.lit(json.dumps(turns)), "array<bigint>")
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def _tokens(line: Column, ranks: Column) -> Column:
     """Distinct order keys of a normalised line's words, rarest first."""
     hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda word: F.xxhash64(word))), F.xxhash64(F.lit("")))
-    # a key is as distinct as its hash: ranks are those of one class of leading bits each
-    keys = F.transform(hashes, lambda h: F.get(ranks, F.shiftrightunsigned(h, 64 - BITS).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << 64 - BITS) - 1))))
-    return F.sort_array(keys)
+    # a key is as distinct as its hash: ranks are those of one class of leading bits each. There is a rank for each class;
+    # saying so (coalesce) lets the keys be sorted as plain numbers
+    return F.sort_array(F.transform(hashes, lambda h: F.coalesce(F.get(ranks, F.shiftrightunsigned(h, 64 - BITS).cast("int")), F.lit(0)).bitwiseXOR(h)))
 
 
 def distinct_lines(lines: DataFrame, ranks: Column, t: Fraction) -> DataFrame:
-    """A row for each token set: rid, the earliest line's id, th and line_no, size n, its parity map of 128 bits and the prefix."""
+    """A row for each token set: rid (any number of its own), the earliest line's id, th and line_no, size n, its parity map and the prefix."""
     sized = lines.select("id", "th", "line_no", _tokens(F.col("line"), ranks).alias("tokens")).withColumn("n", F.size("tokens"))
     needed = F.expr(f"cast((n * {t.numerator} + {t.denominator - 1}) div {t.denominator} as int)")
-    # bits are those of all tokens, bits2 of the tokens whose 7th bit is set
+    # bits are those of all tokens, bits2 in a large set of the tokens whose 7th bit is set
     bits = F.expr("aggregate(tokens, 0L, (bits, x) -> bits ^ shiftleft(1L, cast(x & 63 as int)))").alias("bits")
-    bits2 = F.expr("aggregate(tokens, 0L, (bits, x) -> bits ^ shiftleft(shiftright(x, 6) & 1L, cast(x & 63 as int)))").alias("bits2")
+    bits2 = F.expr(f"if(n >= {LARGE}, aggregate(tokens, 0L, (bits, x) -> bits ^ shiftleft(shiftright(x, 6) & 1L, cast(x & 63 as int))), 0L)").alias("bits2")
     keyed = sized.select(F.xxhash64("tokens").alias("s"), F.xxhash64(F.col("n"), F.col("tokens")).alias("s2"), "id", "th", "line_no", "n", bits, bits2, F.slice("tokens", 1, F.col("n") - needed + 1).alias("prefix"))
     first = keyed.groupBy("s", "s2").agg(F.min(F.struct("id", "th", "line_no", "n", "bits", "bits2", "prefix")).alias("first")).select("first.*")
-    ordered = first.repartitionByRange("id", "th", "line_no").sortWithinPartitions("id", "th", "line_no")
-    return ordered.select(F.monotonically_increasing_id().alias("rid"), "*")
+    return first.select(F.monotonically_increasing_id().alias("rid"), "*")
 
 
-def prefix_index(reps: DataFrame, t: Fraction, *, short: bool) -> DataFrame:
-    """(token, rid, n, bits, bits2, i), a row for each prefix token at place i; without the sets too small to match another one.
+def prefix_index(reps: DataFrame, t: Fraction, *, short: bool, more: tuple[str, ...] = ()) -> DataFrame:
+    """(token, rid, n, bits, bits2, i, more), a row for each prefix token at place i; without the sets too small to match another one.
 
     short: the prefix that is enough for a set held against sets at least as large: at least 2 / (1 + 1/t) of its tokens are shared."""
     num, den = t.numerator, t.denominator
     # unequal sets share at most the smaller size, of one token less than the larger: n / (n + 1) must reach t
     large = reps.where(F.col("n") * den >= (F.col("n") + 1) * num) if num < den else reps.where("false")
     prefix = F.expr(f"slice(prefix, 1, n + 1 - cast((n * {2 * num} + {num + den - 1}) div {num + den} as int))") if short else F.col("prefix")
-    return large.select("rid", "n", "bits", "bits2", F.posexplode(prefix).alias("i", "token"))
+    return large.select("rid", "n", "bits", "bits2", *more, F.posexplode(prefix).alias("i", "token"))
 
 
 def _may_match(a: dict[str, Column], b: dict[str, Column], t: Fraction) -> Column:
@@ -104,31 +112,34 @@ def _may_match(a: dict[str, Column], b: dict[str, Column], t: Fraction) -> Colum
     num, den = t.numerator, t.denominator
     sizes, most = a["n"] + b["n"], F.least(a["n"] - a["i"], b["n"] - b["i"])
     odd, odd2 = a["bits"].bitwiseXOR(b["bits"]), a["bits2"].bitwiseXOR(b["bits2"])
+    differ = F.when((a["n"] >= LARGE) & (b["n"] >= LARGE), F.bit_count(odd.bitwiseXOR(odd2)) + F.bit_count(odd2)).otherwise(F.bit_count(odd))
     return (
         (a["n"] * den >= b["n"] * num)
         & (b["n"] * den >= a["n"] * num)
         & (most * (num + den) >= sizes * num)
         # in one set only: sizes - 2 * shared, and shared >= sizes * num / (num + den)
-        & ((F.bit_count(odd.bitwiseXOR(odd2)) + F.bit_count(odd2)) * (num + den) <= sizes * (den - num))
+        & (differ * (num + den) <= sizes * (den - num))
     )
 
 
 def first_pairs(reps: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b), a < b: of each token of the short prefixes, its earliest line and each later one that may match it."""
-    by_token = Window.partitionBy("token").orderBy("rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sides = prefix_index(reps, t, short=True).withColumn("first", F.first(F.struct("rid", *_KEPT)).over(by_token))
+    """(a, b): of each token of the short prefixes, its earliest line and each other one that may match it.
+
+    (Which line is the earliest among those of equal id and line number does not matter here.)"""
+    by_token = Window.partitionBy("token").orderBy("id", "line_no", "rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sides = prefix_index(reps, t, short=True, more=("id", "line_no")).withColumn("first", F.first(F.struct("rid", *_KEPT)).over(by_token))
     a, b = ({c: F.col(f"first.{c}") for c in _KEPT}, {c: F.col(c) for c in _KEPT})
-    return sides.where((F.col("first.rid") < F.col("rid")) & _may_match(a, b, t)).select(F.col("first.rid").alias("a"), F.col("rid").alias("b")).distinct()
+    return sides.where((F.col("first.rid") != F.col("rid")) & _may_match(a, b, t)).select(F.least("first.rid", "rid").alias("a"), F.greatest("first.rid", "rid").alias("b")).distinct()
 
 
 def other_pairs(marked: DataFrame, t: Fraction) -> DataFrame:
-    """(a, b), a < b, b not gone: all lines that share a prefix token and may match, the smaller one by its short prefix."""
+    """(a, b), not both gone: all lines that share a prefix token and may match, the smaller one by its short prefix."""
     flagged = marked.withColumn("rid", F.when(F.col("gone"), -1 - F.col("rid")).otherwise(F.col("rid")))  # a removed one's number below 0
     x, y = (prefix_index(flagged, t, short=short).select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("rid", *_KEPT))) for side, short in (("x", True), ("y", False)))
     a, b = ({c: F.col(f"{side}_{c}") for c in ("rid", *_KEPT)} for side in "xy")
     p, q = (F.when(rid < 0, -1 - rid).otherwise(rid) for rid in (a["rid"], b["rid"]))
     once = (a["n"] < b["n"]) | ((a["n"] == b["n"]) & (p != q))
-    stays = F.when(p < q, b["rid"]).otherwise(a["rid"]) >= 0
+    stays = (a["rid"] >= 0) | (b["rid"] >= 0)
     return x.join(y, (x["token"] == y["token"]) & once & stays & _may_match(a, b, t)).select(F.least(p, q).alias("a"), F.greatest(p, q).alias("b")).distinct()
 
 
@@ -151,19 +162,18 @@ def may_be_in(lines: DataFrame) -> Column:
 
 
 def matched(pairs: DataFrame, reps: DataFrame, texts: DataFrame, ranks: Column, t: Fraction) -> DataFrame:
-    """(rid) of the later lines of the pairs that reach the threshold, by the lines' whole token sets."""
-    pairs = materialize(pairs, "line-pairs")
+    """(rid) of the later lines of the written pairs that reach the threshold, by the lines' whole token sets."""
     wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "wanted-lines")
     by_doc = reps.select("rid", "id", "th", "line_no").where(may_be_in(wanted)).join(wanted, "rid", "left_semi").groupBy(F.col("id").alias("at_id"), F.col("th").alias("at_th")).agg(F.collect_list(F.struct("rid", F.col("line_no").alias("at_no"))).alias("at"))
     by_doc = materialize(by_doc, "line-places")
     near = texts.where(in_bitmap(bitmap(by_doc.select("at_th")), F.col("th")))
-    found = near.join(by_doc, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th"))).select(F.split(normal_text(F.col("text")), "\n").alias("lines"), F.inline("at"))
-    sets = materialize(found.select("rid", _tokens(F.get("lines", F.col("at_no")), ranks).alias("tokens")).dropDuplicates(["rid"]), "line-sets")
-    a, b = (sets.select(F.col("rid").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
+    found = near.join(by_doc, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th"))).select("id", "th", F.split(normal_text(F.col("text")), "\n").alias("lines"), F.inline("at"))
+    sets = materialize(found.select("rid", F.struct("id", "th", "at_no").alias("place"), _tokens(F.get("lines", F.col("at_no")), ranks).alias("tokens")).dropDuplicates(["rid"]), "line-sets")
+    a, b = (sets.select(F.col("rid").alias(x), F.col("place").alias(f"{x}_place"), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     alike = pairs.join(a, "a").join(b, "b").where(shared * (t.numerator + t.denominator) >= (F.size("a_tokens") + F.size("b_tokens")) * t.numerator)
-    out = materialize(alike.select(F.col("b").alias("rid")).distinct(), "matched")
-    release(pairs, wanted, sets, by_doc)
+    out = materialize(alike.select(F.when(F.col("a_place") < F.col("b_place"), F.col("b")).otherwise(F.col("a")).alias("rid")).distinct(), "matched")
+    release(wanted, sets, by_doc)
     return out
 
 
@@ -175,21 +185,23 @@ def dedup_lines(docs: DataFrame, *, threshold: float = 0.8, id_col: str = "doc_i
     if not 0 < t <= 1:
         raise ValueError("threshold must be above 0, at most 1")
     lines = _lines(docs, id_col, text_col)
-    ranks = word_ranks(lines)
+    ranks = word_ranks(docs, text_col)
     reps = materialize(distinct_lines(lines, ranks, t), "distinct-lines")
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    removed = matched(first_pairs(reps, t), reps, texts, ranks, t)
+    tried = materialize(first_pairs(reps, t), "first-pairs")
+    removed = matched(tried, reps, texts, ranks, t)
     # written, as the two sides of the join would each shuffle all lines for it
     maybe = may_be_in(removed)
     sure = reps.where(~maybe).withColumn("gone", F.lit(False))
     held = reps.where(maybe).join(removed.withColumn("gone", F.lit(True)), "rid", "left").withColumn("gone", F.col("gone").isNotNull())
     marked = materialize(sure.unionByName(held), "marked-lines")
     release(reps, removed)
-    later = matched(other_pairs(marked, t), marked, texts, ranks, t)
+    others = materialize(other_pairs(marked, t).join(tried, ["a", "b"], "left_anti"), "other-pairs")
+    later = matched(others, marked, texts, ranks, t)
     stay, maybe = marked.where("not gone").select("rid", "id", "th", "line_no"), may_be_in(later)
     stay = stay.where(~maybe).unionByName(stay.where(maybe).join(later, "rid", "left_anti"))
     kept = materialize(stay.groupBy(F.col("id").alias("k_id"), F.col("th").alias("k_th")).agg(F.collect_list("line_no").alias("k_lines")), "kept-lines")
-    release(marked, later)
+    release(marked, later, tried, others)
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))  # so that no column's name can clash
     text = F.col("doc")[text_col]
     whole = held.withColumn("k_hash", F.xxhash64(text)).join(kept, F.col("doc")[id_col].eqNullSafe(F.col("k_id")) & (F.col("k_hash") == F.col("k_th")), "left")
