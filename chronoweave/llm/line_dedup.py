@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import has_words, materialize, release
 
-BITS = 14
+BITS = 16
 BUCKETS = 1 << BITS
 #: Sets from this size on have a parity map of 128 bits; the 64 bits of smaller ones tell enough of them apart.
 LARGE = 96
