@@ -4,7 +4,10 @@ Frames of the signal are folded into twelve pitch classes. FILTERS rectangles ar
 classes; each compares the sums of two of its parts, read from the integral image, and is quantised to two bits, so each
 place in time gives one packed 32-bit integer. Recordings that share an integer are candidates. Of a pair,
 the histogram of the offsets of equal integers gives the alignment, and the share of unequal bits over the frames that
-then overlap decides. Candidates are not expanded into all pairs: see linking.
+then overlap decides. Recordings lie in blocks; each two blocks meet in a task, which walks through the equal integers of
+two recordings not joined yet, leaves out those at whose offset too many bits are unequal, and aligns the others. So
+pairs that share integers by chance are never rows. The work in tasks grows with the square of the number of
+recordings, as the number of chance equalities does.
 
 Nulls: null, empty and too short or silent signals have an empty fingerprint and are a class of their own row. Equal
 fingerprints are one node; repeated rows are copies. An empty table gives no rows; other columns are not read."""
@@ -24,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize
-from .linking import classes
+from .linking import components
 
 RATE, FRAME, HOP, SPAN = 4000, 512, 128, 16
 #: (split in time?, first pitch class, pitch classes, frames), by rule: heights and widths in turn, each half the other way.
 FILTERS = tuple((k % 2 == 0, (5 * k) % 12, 2 + 2 * (k % 3), 4 * (1 + k % 4)) for k in range(16))
+#: Integers of a block of recordings, equal integers that a task looks at together, and integers that it compares together.
+BLOCK, EVENTS, WINDOW = 1 << 19, 1 << 19, 1 << 18
 
 
 def decode_wav(data: bytes) -> tuple[np.ndarray, int]:
@@ -115,6 +120,69 @@ def align(a: np.ndarray, b: np.ndarray, least: float = 0.5) -> tuple[int, int, f
     return shift, int(votes[k]), float(np.bitwise_count(x[:m] ^ y[:m]).sum()) / (32 * m)
 
 
+def _unequal(flat: np.ndarray, at_a: np.ndarray, at_b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Unequal bits of the runs of these lengths that begin at at_a and at_b."""
+    out = np.zeros(len(lengths), np.int64)
+    order = np.argsort(lengths, kind="stable")
+    sizes, firsts = np.unique(lengths[order], return_index=True)
+    for size, rows in zip(sizes.tolist(), np.split(order, firsts[1:])):
+        runs = np.ndarray(len(flat) - size + 1, np.dtype((np.void, 4 * size)), flat, strides=(4,))
+        word = np.uint64 if size % 2 == 0 else np.uint32
+        for some in np.array_split(rows, min(len(rows), -(-len(rows) * size // WINDOW))):
+            odd = runs[at_a[some]].view(word).reshape(len(some), -1) ^ runs[at_b[some]].view(word).reshape(len(some), -1)
+            out[some] = np.bitwise_count(odd).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def links(prints: list[np.ndarray], first: int, most_errors: float, least: float = 0.5) -> list[tuple[int, int]]:
+    """Pairs i < j that `align` gives at most most_errors, as many as join all that are joined by such pairs. Of 0 < first < len(prints) only pairs i < first <= j count.
+
+    An offset that align can choose has an equal integer that none precedes in both, so it is enough to look at those; and the
+    unequal bits of a part of the overlap are at most those allowed for all of it."""
+    n = np.array([len(p) for p in prints], np.int64)
+    starts, flat, owner = np.cumsum(n) - n, np.ascontiguousarray(np.concatenate(prints)), np.repeat(np.arange(len(n)), n)
+    across = 0 < first < len(n)
+    cut = int(starts[first]) if across else len(flat)
+    x = np.argsort(flat[:cut], kind="stable")
+    y = cut + np.argsort(flat[cut:], kind="stable") if across else x
+    lo, hi = (np.searchsorted(flat[y], flat[x], side) for side in ("left", "right"))
+    if not across:
+        lo = np.arange(len(x)) + 1
+    shared = hi > lo
+    x, lo, size = x[shared], lo[shared], (hi - lo)[shared]
+    ends = np.cumsum(size)
+    label, found, at = np.arange(len(n)), [], 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + EVENTS, "right")))
+        k = size[at:to]
+        i, j = np.repeat(x[at:to], k), y[np.arange(k.sum()) + np.repeat(lo[at:to] - (np.cumsum(k) - k), k)]
+        at = to
+        apart = label[owner[i]] != label[owner[j]]
+        i, j = np.minimum(i, j)[apart], np.maximum(i, j)[apart]
+        a, b = owner[i], owner[j]
+        p, q = i - starts[a], j - starts[b]
+        begins = (p == 0) | (q == 0) | (flat[i - 1] != flat[j - 1])
+        a, b, p, q = a[begins], b[begins], p[begins], q[begins]
+        in_a, in_b = np.maximum(p - q, 0), np.maximum(q - p, 0)
+        m = np.minimum(n[a] - in_a, n[b] - in_b)
+        at_a, at_b, most = starts[a] + in_a, starts[b] + in_b, np.floor(most_errors * 32 * m + 1e-6)
+        keep = np.flatnonzero(m >= least * np.minimum(n[a], n[b]))
+        for part in (np.where(m < 40, m, m * 4 // 5 // 16 * 16), m):
+            keep = keep[_unequal(flat, at_a[keep], at_b[keep], part[keep]) <= most[keep]]
+        for pair in np.unique(a[keep] * len(n) + b[keep]).tolist():
+            u, v = ends_of = divmod(pair, len(n))
+            while label[u] != u:
+                u = label[u]
+            while label[v] != v:
+                v = label[v]
+            if u != v and align(prints[ends_of[0]], prints[ends_of[1]], least)[2] <= most_errors:
+                label[max(u, v)] = min(u, v)
+                found.append(ends_of)
+        while (label[label] != label).any():
+            label = label[label]
+    return found
+
+
 def fingerprint(df: DataFrame, column: str, *, id_col: str, decode: Callable[[object], tuple[np.ndarray, int]] = decode_wav) -> DataFrame:
     """(id, codes: int array) of each row; decode turns a value of the column into samples and their rate."""
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("codes", T.ArrayType(T.IntegerType()))])
@@ -130,12 +198,34 @@ def fingerprint(df: DataFrame, column: str, *, id_col: str, decode: Callable[[ob
     return df.select(id_col, column).mapInArrow(run, schema)
 
 
+def _linked(nodes: DataFrame, most_errors: float) -> DataFrame:
+    """(a, b), a < b: links that join all nodes (node, codes) that links join."""
+    total = nodes.agg(F.sum(F.size("codes"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK))
+    block = F.shiftright(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long") * n, 32).cast("int")  # in the order of nodes
+    placed = nodes.select("node", "codes", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    dealt = placed.select((F.least("block", "other") * F.lit(n).cast("long") + F.greatest("block", "other")).alias("blocks"), "block", "node", "codes")
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        x, y = divmod(key[0].as_py(), n)
+        rows = rows.select(["block", "node", "codes"]).combine_chunks().sort_by("node")
+        first = int((rows.column("block").to_numpy() == x).sum())
+        pairs = []
+        if len(rows) > 1 and (x == y or 0 < first < len(rows)):
+            codes = rows.column("codes").combine_chunks()
+            values, offsets = codes.values.to_numpy().view(np.uint32), codes.offsets.to_numpy()
+            pairs = links(np.split(values[: offsets[-1]], offsets[1:-1]), first, most_errors)
+        a, b = (rows.column("node").take(pa.array([p[k] for p in pairs], pa.int64())) for k in (0, 1))
+        return pa.table({"a": a, "b": b})
+
+    return dealt.repartition(min(4096, 3 * n * (n + 1) // 2), "blocks").groupBy("blocks").applyInArrow(run, "a binary, b binary")
+
+
 def same_recordings(prints: DataFrame, *, id_col: str, most_errors: float = 0.2) -> DataFrame:
     """A row for each row of prints (id, codes): id, n_codes, class_id (the least id of the class), offset to the class's
     fingerprint of least node, and the share of unequal bits there (0 and 0.0 for that one and its copies; null where none aligns)."""
     rows = materialize(prints.select(F.col(id_col), "codes", F.when(F.size("codes") > 0, F.unhex(F.md5(F.array_join(F.transform("codes", lambda c: c.cast("string")), ",")))).alias("node")), "recordings")
     nodes = materialize(rows.where("node is not null").groupBy("node").agg(F.first("codes").alias("codes"), F.min(id_col).alias("least")), "prints")
-    entries = nodes.select("node", F.explode(F.array_distinct("codes")).alias("bucket"))  # align needs one equal code, so none that it accepts is lost
     schema = "a binary, b binary, offset long, errors double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +237,7 @@ def same_recordings(prints: DataFrame, *, id_col: str, most_errors: float = 0.2)
         side = lambda c: nodes.select(F.col("node").alias(c), F.col("codes").alias(f"{c}_codes"))
         return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_codes", "b_codes").mapInArrow(run, schema)
 
-    labels = materialize(classes(entries, lambda _: lambda pairs: aligned(pairs).where(F.col("errors") <= most_errors).select("a", "b")), "classes")
+    labels = components(materialize(_linked(nodes, most_errors), "links"))
     least = labels.join(nodes.select("node", "least"), "node").groupBy("label").agg(F.min("least").alias("class_id"))
     to = aligned(labels.where(F.col("node") != F.col("label")).select(F.col("label").alias("a"), F.col("node").alias("b"))).where(F.col("errors") < 1).select(F.col("b").alias("node"), "offset", "errors")
     members = labels.join(least, "label").join(to, "node", "left").select(F.col("node").alias("m_node"), "class_id", F.when(F.col("node") == F.col("label"), F.lit(0).cast("long")).otherwise(F.col("offset")).alias("offset"), F.when(F.col("node") == F.col("label"), F.lit(0.0)).otherwise(F.col("errors")).alias("errors"))

@@ -219,6 +219,66 @@ def test_recordings_with_errors(spark):
     assert got == dict(enumerate(top))
 
 
+def _joined(n, pairs):
+    top = list(range(n))
+    for i, j in pairs:
+        a, b = sorted((top[i], top[j]))
+        top = [a if x == b else x for x in top]
+    return top
+
+
+def _takes(seed, songs, takes):
+    """Recordings of few different integers, so that unrelated ones share many, each in several takes with errors that begin earlier or later."""
+    import numpy as np
+
+    draw, out = np.random.default_rng(seed), []
+    for _ in range(songs):
+        song = draw.integers(0, 6, draw.integers(1, 60)).astype(np.uint32) * np.uint32(0x01010101)
+        out.append(song)
+        for _ in range(takes):
+            take = np.concatenate([draw.integers(0, 2**32, draw.integers(0, 9)).astype(np.uint32), song])
+            take ^= np.packbits(draw.random((len(take), 32)) < draw.choice([0, 0.02, 0.1, 0.18]), axis=1).view(np.uint32).ravel()
+            out.append(take[draw.integers(0, 5) :] if len(take) > 6 else take)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_links_of_blocks(seed):
+    prints = _takes(seed, 8, 5)
+    for first in (len(prints), 20):
+        every = [(i, j) for j in range(len(prints)) for i in range(j) if (first == len(prints) or i < first <= j) and chroma.align(prints[i], prints[j])[2] <= 0.2]
+        found = chroma.links(prints, first, 0.2)
+        assert set(found) <= set(every) and _joined(len(prints), found) == _joined(len(prints), every)
+
+
+def test_chance_equalities_are_no_rows(spark, monkeypatch):
+    """Unrelated recordings that share integers make no table of pairs; blocks of any size give the classes of all pairs."""
+    import numpy as np
+
+    from chronoweave.llm import common, linking
+
+    prints = _takes(11, 30, 2)
+    prints = list({p.tobytes(): p for p in prints}.values())
+    written = []
+
+    def counted(df, name):
+        out = common.materialize(df, name)
+        written.append((name, out.count()))
+        return out
+
+    for module in (chroma, linking):
+        monkeypatch.setattr(module, "materialize", counted)
+    monkeypatch.setattr(chroma, "BLOCK", 900, raising=False)
+    df = spark.createDataFrame([(k, p.view(np.int32).tolist()) for k, p in enumerate(prints)], "rec long, codes array<int>")
+    got = {r.rec: r.class_id for r in chroma.same_recordings(df, id_col="rec").collect()}
+    assert max(n for _, n in written) <= 6 * len(prints), written  # of three blocks, links (a, b) and (b, a)
+    import hashlib
+
+    node = [hashlib.md5(",".join(map(str, p.view(np.int32).tolist())).encode()).digest() for p in prints]
+    every = [tuple(sorted((i, j))) for i in range(len(prints)) for j in range(len(prints)) if node[i] < node[j] and chroma.align(prints[i], prints[j])[2] <= 0.2]
+    assert got == dict(enumerate(_joined(len(prints), every)))
+
+
 @pytest.mark.parametrize("a,b,shift", [([1, 2, 3, 4, 5, 6, 7, 8], [9, 9, 1, 2, 3, 4, 5, 6, 7, 8], 2)])
 def test_align(a, b, shift):
     import numpy as np
