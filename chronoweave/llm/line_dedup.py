@@ -28,7 +28,7 @@ from __future__ import annotations
 import json
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import has_words, materialize, release
@@ -57,6 +57,12 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return every.where(F.trim("line") != "")
 
 
+def constant(spark: SparkSession, numbers: list[int], name: str) -> Column:
+    """An array that is written once and read by scalar subqueries: the text of a literal would be in each description of each plan that the driver makes and keeps."""
+    one = spark.range(1).select(F.from_json(F.lit(json.dumps(numbers)), "array<bigint>").alias("numbers"))
+    return materialize(one, name).scalar()
+
+
 def word_ranks(lines: DataFrame) -> Column:
     """A constant array: the rank, by number of words, of each class of word hashes, at the place of a key's leading bits; classes without words are rarest."""
     words = lines.select(F.explode(F.split("line", " ")).alias("word")).where("word != ''")
@@ -64,11 +70,11 @@ def word_ranks(lines: DataFrame) -> Column:
     ranks = [-1 << 63] * BUCKETS
     for k, r in enumerate(sorted(counts.collect(), key=lambda r: (r["n"], r["bucket"]))):  # at most BUCKETS rows
         ranks[r["bucket"]] = (k - BUCKETS // 2) << 64 - BITS
-    return F.from_json(F.lit(json.dumps(ranks)), "array<bigint>")
+    return constant(lines.sparkSession, ranks, "word-ranks")
 
 
 def _tokens(line: Column, ranks: Column) -> Column:
-    """Distinct order keys of a normalised line's words, rarest first."""
+    """Distinct order keys of a normalised line's words, rarest first; ranks is a column, as a lambda can't hold the subquery until the planner puts it there."""
     hashes = F.array_remove(F.array_distinct(F.transform(F.split(line, " "), lambda word: F.xxhash64(word))), F.xxhash64(F.lit("")))
     # a key is as distinct as its hash: ranks are those of one class of leading bits each
     keys = F.transform(hashes, lambda h: F.get(ranks, F.shiftrightunsigned(h, 64 - BITS).cast("int")).bitwiseOR(h.bitwiseAND(F.lit((1 << 64 - BITS) - 1))))
@@ -77,7 +83,7 @@ def _tokens(line: Column, ranks: Column) -> Column:
 
 def distinct_lines(lines: DataFrame, ranks: Column, t: Fraction) -> DataFrame:
     """A row for each token set: rid, the earliest line's id, th and line_no, size n, its parity map of 128 bits and the prefix."""
-    sized = lines.select("id", "th", "line_no", _tokens(F.col("line"), ranks).alias("tokens")).withColumn("n", F.size("tokens"))
+    sized = lines.withColumn("ranks", ranks).select("id", "th", "line_no", _tokens(F.col("line"), F.col("ranks")).alias("tokens")).withColumn("n", F.size("tokens"))
     needed = F.expr(f"cast((n * {t.numerator} + {t.denominator - 1}) div {t.denominator} as int)")
     # bits are those of all tokens, bits2 of the tokens whose 7th bit is set
     bits = F.expr("aggregate(tokens, 0L, (bits, x) -> bits ^ shiftleft(1L, cast(x & 63 as int)))").alias("bits")
@@ -137,7 +143,7 @@ def bitmap(hashes: DataFrame) -> Column:
     h = F.col(hashes.columns[0])
     words = hashes.groupBy(F.shiftrightunsigned(h, 50).cast("int").alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{hashes.columns[0]}` & 63 as int))")).alias("bits"))
     held = dict(map(tuple, words.collect()))  # at most 2^14 rows
-    return F.from_json(F.lit(json.dumps([held.get(k, 0) for k in range(1 << 14)])), "array<bigint>")
+    return constant(hashes.sparkSession, [held.get(k, 0) for k in range(1 << 14)], "bitmap")
 
 
 def in_bitmap(bits: Column, h: Column) -> Column:
@@ -158,7 +164,7 @@ def matched(pairs: DataFrame, reps: DataFrame, texts: DataFrame, ranks: Column,
     by_doc = materialize(by_doc, "line-places")
     near = texts.where(in_bitmap(bitmap(by_doc.select("at_th")), F.col("th")))
     found = near.join(by_doc, F.col("id").eqNullSafe(F.col("at_id")) & (F.col("th") == F.col("at_th"))).select(F.split(normal_text(F.col("text")), "\n").alias("lines"), F.inline("at"))
-    sets = materialize(found.select("rid", _tokens(F.get("lines", F.col("at_no")), ranks).alias("tokens")).dropDuplicates(["rid"]), "line-sets")
+    sets = materialize(found.withColumn("ranks", ranks).select("rid", _tokens(F.get("lines", F.col("at_no")), F.col("ranks")).alias("tokens")).dropDuplicates(["rid"]), "line-sets")
     a, b = (sets.select(F.col("rid").alias(x), F.col("tokens").alias(f"{x}_tokens")) for x in "ab")
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     alike = pairs.join(a, "a").join(b, "b").where(shared * (t.numerator + t.denominator) >= (F.size("a_tokens") + F.size("b_tokens")) * t.numerator)

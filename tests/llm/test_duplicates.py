@@ -219,6 +219,23 @@ def test_recordings_with_errors(spark):
     assert got == dict(enumerate(top))
 
 
+def test_line_plans_are_short(spark, monkeypatch):
+    """No plan but those that write them describes the ranks of words or a bitmap: the driver makes and keeps many descriptions."""
+    from chronoweave.llm import common
+
+    lengths = {}
+
+    def told(df, name):
+        lengths[name] = len(df._jdf.queryExecution().toString())
+        return common.materialize(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialize", told)
+    df = spark.createDataFrame([(1, "a b c d e f\nx"), (2, "a b c d e f\ny z")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {1: "a b c d e f\nx", 2: "y z"}
+    assert max(n for name, n in lengths.items() if name not in ("word-ranks", "bitmap")) < 100_000, lengths
+
+
 def _joined(n, pairs):
     top = list(range(n))
     for i, j in pairs:
