@@ -236,6 +236,40 @@ def test_line_plans_are_short(spark, monkeypatch):
     assert max(n for name, n in lengths.items() if name not in ("word-ranks", "bitmap")) < 100_000, lengths
 
 
+def test_lines_are_collapsed_without_sorting(spark, monkeypatch):
+    """With unique integer ids, the earliest line of each token set is found by hashes of numbers, with no sort of lines or documents."""
+    from chronoweave.llm import common
+
+    plans = {}
+
+    def told(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return common.materialize(df, name)
+
+    monkeypatch.setattr(line_dedup, "materialize", told)
+    df = spark.createDataFrame([(-5, "a b c d e f\nx"), (1 << 31, "a b c d e f\ny z")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == {-5: "a b c d e f\nx", 1 << 31: "y z"}
+    assert "HashAggregate" in plans["distinct-lines"] and "Sort" not in plans["distinct-lines"] and "rangepartitioning" not in plans["distinct-lines"]
+
+
+@pytest.mark.parametrize("kind, make", [("int", int), ("string", lambda k: f"k{k:03d}"), ("long", lambda k: k * (1 << 54) - (1 << 62)), ("double", float)])
+def test_lines_by_other_ids(spark, kind, make):
+    """Ids that are no integers of a short span, repeated ones and null ones go by a sort; lines of all lengths against brute force."""
+    draw = random.Random(7)
+    bases = [[f"w{draw.randrange(400)}" for _ in range(n)] for n in (3, 9, 10, 17, 40, 64, 66, 90, 150)]
+    line = lambda: " ".join(w if draw.random() > 0.06 else f"v{draw.randrange(50)}" for w in draw.choice(bases))
+    texts = {k: "\n".join(line() for _ in range(draw.randrange(1, 9))) + "\n\t" for k in range(60)}
+    got = line_dedup.dedup_lines(spark.createDataFrame([(make(k), t) for k, t in texts.items()], f"doc_id {kind}, text string"))
+    assert {r.doc_id: r.text for r in got.collect()} == {make(k): t for k, t in _expected_lines(texts).items()}
+    if kind == "int":
+        rows = [*((k // 2, t) for k, t in texts.items()), (None, texts[0]), (None, None), (0, None), (0, texts[0])]
+        order = sorted(spark.createDataFrame(rows[:60], "id int, text string").select("id", "text", F.xxhash64("text").alias("h")).collect(), key=lambda r: (r.id, r.h))
+        told = _expected_lines(dict(enumerate([texts[0], *(r.text for r in order)])))  # null ids come first
+        want = Counter([(None, told[0]), (None, None), (0, None), *((r.id, told[k + 1]) for k, r in enumerate(order))])
+        want[(0, next(told[k + 1] for k, r in enumerate(order) if (r.id, r.text) == (0, texts[0])))] += 1
+        assert Counter((r.doc_id, r.text) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id int, text string")).collect()) == want
+
+
 def _joined(n, pairs):
     top = list(range(n))
     for i, j in pairs:
